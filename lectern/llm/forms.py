@@ -89,7 +89,8 @@ def _class(chars: str) -> str:
 @cache
 def _patterns() -> dict[str, re.Pattern]:
     t = _tables()
-    odd = "".join(chr(c) for c in [*t["compat"], *t["excluded"]]) + t["singles"] + t["invisible"] + t["spaces"]
+    # one range for what lies above 0xFFFF: a class of many would be searched range by range
+    odd = "".join(c for c in [*map(chr, t["compat"]), *map(chr, t["excluded"]), *t["singles"], *t["invisible"], *t["spaces"]] if c <= "\uffff")
     mixed = "|".join(f"[{a}][{MARKS}]*[{b}]" for a in SCRIPTS for b in SCRIPTS if a != b)
     every = "".join(SCRIPTS)
     return {
@@ -99,8 +100,9 @@ def _patterns() -> dict[str, re.Pattern]:
         "single": re.compile(f"[{_class(t['singles'])}]"),
         "mixed": re.compile(mixed),
         "word": re.compile(f"[{every}{MARKS}]+"),
+        "unit": re.compile(f"[^{_class(''.join(map(chr, t['apart'])))}]+"),
         # characters that can be part of a deviation at all; letters of scripts that mix are looked at apart
-        "odd": re.compile(f"[{_class(odd)}{MARKS}゙゚]"),
+        "odd": re.compile(f"[{_class(odd)}{MARKS}゙゚\U00010000-\U0010ffff]"),
         "other": re.compile(f"[{''.join(SCRIPTS[1:])}]"),
         **{f"script{i}": re.compile(f"[{s}]") for i, s in enumerate(SCRIPTS)},
     }
@@ -192,7 +194,7 @@ def reasons(text: str) -> list[str]:
 
 def words_of(text: str) -> list[str]:
     """Words of the canonical form, case folded: what punctuation, symbols and spaces part."""
-    return canonical(text).casefold().translate(_tables()["apart"]).split()
+    return _patterns()["unit"].findall(canonical(text).casefold())
 
 
 def letters_of(text: str) -> str:

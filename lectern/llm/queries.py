@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import forms, repetition, runs
+from lectern.llm import forms, levels, packing, repetition, runs, sentences
 from lectern.session import table
 
 
@@ -46,5 +46,33 @@ def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     return forms.same_looking(_values(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_video, p2_found, p2_events, p5_found, p5_groups)}
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    x = sentences.sentences(table(spark, sf, "segments_raw"), ["video_id", "id"]).where("sentence_no > 0")
+    return x.select("video_id", F.col("id").alias("seg_id"), "begin_char").distinct()
+
+
+def p3_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """All sentence units, exact copies of a segment once."""
+    x = sentences.sentences(table(spark, sf, "segments_raw"), ["video_id", "id"])
+    return x.groupBy("video_id", "id", "sentence_no", "begin_char", "end_char").agg(F.max("sentence").alias("sentence"))
+
+
+def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.assign(table(spark, sf, "documents"), table(spark, sf, "pack_targets"))
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill(p8_pack(spark, sf), table(spark, sf, "pack_targets"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    x = levels.reading_levels(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
+    return x.where("demanding").select("doc_id")
+
+
+def p10_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return levels.reading_levels(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_video, p2_found, p2_events, p3_found, p3_sentences, p5_found, p5_groups, p8_pack, p8_fill, p10_found, p10_levels)}
 ORACLE: dict[str, str] = {}
