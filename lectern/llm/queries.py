@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import forms, levels, packing, repetition, runs, sentences
+from lectern.llm import forms, leakage, levels, packing, repetition, runs, sentences
 from lectern.session import table
 
 
@@ -65,6 +65,21 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill(p8_pack(spark, sf), table(spark, sf, "pack_targets"))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("item_id", "doc_id")
+
+
+def p9_by_item(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaked items with the documents that hold them and the largest part that one of them gives."""
+    x = leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    return x.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.round(F.max("part"), 6).alias("largest_part"))
+
+
+def p9_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold no passage of an item."""
+    return leakage.without_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id")
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     x = levels.reading_levels(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
     return x.where("demanding").select("doc_id")
@@ -74,5 +89,5 @@ def p10_levels(spark: SparkSession, sf: str) -> DataFrame:
     return levels.reading_levels(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_video, p2_found, p2_events, p3_found, p3_sentences, p5_found, p5_groups, p8_pack, p8_fill, p10_found, p10_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_video, p2_found, p2_events, p3_found, p3_sentences, p5_found, p5_groups, p8_pack, p8_fill, p9_found, p9_by_item, p9_kept, p10_found, p10_levels)}
 ORACLE: dict[str, str] = {}
