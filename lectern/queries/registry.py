@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lectern.queries import general
+from lectern.queries import general, reference
 
-QUERIES = {**general.QUERIES}
-ORACLE = {**general.ORACLE}
-FLAGSHIP = QUERIES["p4_found"]
+QUERIES = {**reference.QUERIES, **general.QUERIES}
+ORACLE = {**reference.ORACLE, **general.ORACLE}
+FLAGSHIP = QUERIES["srt_documents"]
