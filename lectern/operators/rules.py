@@ -234,7 +234,7 @@ def near_misses(segments: DataFrame, terms: list[str], keys: tuple[str, ...] = (
     pairs = distinct.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "run").join(F.broadcast(reach), "m")
     both = F.length("run") + F.length("term")
     # characters of the one that the other has at all bound what they share, without leaving the JVM
-    some = lambda x, y: (F.length(x) - F.length(F.translate(F.col(x), F.col(y), F.lit("")))) * 200 >= both * NEAR
+    some = lambda x, y: (F.length(x) - F.length(F.call_function("translate", F.col(x), F.col(y), F.lit("")))) * 200 >= both * NEAR
     pairs = pairs.where(some("run", "term") & some("term", "run"))
     shared = common(F.col("run"), F.col("term"))
     near = pairs.withColumn("c", shared).where((F.col("c") * 200 >= both * NEAR) & (F.col("c") * 200 < both * SAME)).select("run").distinct()
