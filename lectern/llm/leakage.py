@@ -80,14 +80,13 @@ def least_run(weights: np.ndarray) -> int:
 
 def least_covered(weights: np.ndarray, seed: int) -> int:
     """Tokens in verbatim runs of ``seed`` or more that every passage has at least, the other runs being one shorter."""
-    tokens, exchanged = passage(weights)
-    if weights.max() > 1:
-        return seed
-    least = tokens
-    for n in range(tokens, len(weights) + 1):
-        m = int(n * EXCHANGED + 1e-9)
-        least = min(least, n - m - m * (seed - 1))
-    return max(seed, least)
+    reach = np.concatenate([[0.0], np.cumsum(weights)])
+    span = reach[None, :] - reach[:, None]
+    place = np.arange(len(reach))
+    # each exchanged token parts two runs, all but one of which may fall short of a seed
+    sure = place[None, :] - place[:, None] - np.floor(span * EXCHANGED + 1e-9) * seed
+    long = span >= np.ceil(reach[-1] * PART - 1e-9) - 1e-9
+    return max(seed, int(sure[long].min()))
 
 
 @dataclass
