@@ -148,7 +148,7 @@ def test_candidates_and_near_misses(spark):
     made = rules.Rules(RULES)
     assert made.candidates("", "dùng lam da và ý e hai", "") == ["manual: lam da", "unmet context: ý e hai"]
     assert made.candidates("máy chủ", "ý e hai", "") == []
-    df = spark.createDataFrame([(1, 0, 0.0, 1.0, "gọi lamda đi", None, None, None), (1, 1, 0.0, 1.0, "gọi lambda đi", None, None, None), (1, 2, 0.0, 1.0, None, None, None, None), (1, 3, 0.0, 1.0, "cloud fronts", None, None, None)], SEG)
+    df = spark.createDataFrame([(1, 0, 0.0, 1.0, "gọi lamda đi", None, None, None), (1, 1, 0.0, 1.0, "gọi lambda ngay bây giờ", None, None, None), (1, 2, 0.0, 1.0, None, None, None, None), (1, 3, 0.0, 1.0, "cloud fronts", None, None, None)], SEG)
     assert sorted(r.id for r in rules.near_misses(df, ["Lambda", "CloudFront"]).collect()) == [0, 3]
 
 
