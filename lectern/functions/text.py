@@ -52,11 +52,12 @@ def tokens(c: str | Column) -> Column:
 def ngrams(words: Column, most: int = 3) -> Column:
     """All runs of 1 to ``most`` words, joined by a space."""
 
-    def of(n: int) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-        return F.when(F.size(words) >= n, F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    def of(w: Column, n: int) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))
+        return F.when(F.size(w) >= n, F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*[of(n) for n in range(1, most + 1)])
+    # bound by an array of one, so that the words are made once and not for every run
+    return F.transform(F.array(words), lambda w: F.concat(*[of(w, n) for n in range(1, most + 1)]))[0]
 
 
 def digit_runs(c: str | Column) -> Column:

@@ -9,16 +9,16 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from lectern.functions import text as T
 from lectern.functions.arrow_groups import column
-from lectern.functions.similarity import common
+from lectern.functions.similarity import lcs
 from lectern.functions.text import folded
 
 #: Terms and rules are settings, sent to all tasks; more than this many characters of them are refused.
 MOST_CHARS = 20_000_000
-NEAR, SAME = 78, 100
-CHUNK = 4096
+NEAR = 78
 
 
 def words_pattern(phrase: str) -> str:
@@ -213,11 +213,35 @@ def correct(segments: DataFrame, rules: list[Rule], terms: list[str]) -> DataFra
     return x.drop("__s", "__matches", "__next", "__prev", "__island", "__fixed", "__before", "__behind")
 
 
+class Near:
+    """Whether a run is nearly one of the terms, and none of them. Terms wait by length and with their letters."""
+
+    def __init__(self, terms: list[str]):
+        self.terms = set(terms)
+        self.by: dict[int, list[tuple[str, frozenset[str]]]] = {}
+        for t in terms:
+            self.by.setdefault(len(t), []).append((t, frozenset(t)))
+
+    def __call__(self, run: str) -> bool:
+        if run in self.terms:
+            return False
+        n, letters = len(run), set(run)
+        for m in range(-(-n * NEAR // (200 - NEAR)), n * (200 - NEAR) // NEAR + 1):
+            least = -(-NEAR * (n + m) // 200)
+            for term, has in self.by.get(m, ()):
+                # letters that the other lacks can't be shared
+                if n - least < sum(map(run.count, letters - has)) or m - least < sum(map(term.count, has - letters)):
+                    continue
+                if lcs(run, term) >= least:
+                    return True
+        return False
+
+
 def near_misses(segments: DataFrame, terms: list[str], keys: tuple[str, ...] = ("video_id", "id")) -> DataFrame:
     """``keys`` of segments with a run of one to three words that is nearly, but not quite, a glossary term.
 
-    Runs are made distinct before they are compared, and only within the band of lengths in which a likeness of NEAR is
-    possible at all, so a run that a third of all rows repeat is compared once.
+    Runs are made distinct before they are compared, so a run that a third of all rows repeat is compared once, and only
+    with terms of lengths at which a likeness of NEAR is possible at all. The terms are settings whose size was checked.
     """
     spark = segments.sparkSession
     known = sorted({folded(t) for t in terms if t.strip()})
@@ -226,16 +250,14 @@ def near_misses(segments: DataFrame, terms: list[str], keys: tuple[str, ...] = (
     runs = segments.where("text is not null").select(*keys, T.fold("text").alias("folded"))
     runs = runs.select(*keys, F.explode(F.array_distinct(T.ngrams(T.tokens("folded")))).alias("run"))
     runs = runs.where(F.length("run") > 0)
-    # the glossary is a list of settings whose size was checked; each run meets terms of lengths that can be alike
-    table = spark.createDataFrame([(t, len(t)) for t in known], "term string, n int")
-    reach = table.select("term", F.explode(F.sequence(F.ceil(F.col("n") * 39 / 61).cast("int"), F.floor(F.col("n") * 61 / 39).cast("int"))).alias("m"))
-    distinct = runs.select("run").distinct().join(table.select(F.col("term").alias("run")), "run", "left_anti").withColumn("m", F.length("run"))
+    shared = spark.sparkContext.broadcast(known)
+
+    @F.arrow_udf(BooleanType())
+    def nearly(a: pa.Array) -> pa.Array:
+        near = Near(shared.value)
+        return pa.array([near(x) for x in a.to_pylist()], pa.bool_())
+
     # as many tasks as there are cores: comparing is all the work, however few bytes the runs have
-    pairs = distinct.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "run").join(F.broadcast(reach), "m")
-    both = F.length("run") + F.length("term")
-    # characters of the one that the other has at all bound what they share, without leaving the JVM
-    some = lambda x, y: (F.length(x) - F.length(F.call_function("translate", F.col(x), F.col(y), F.lit("")))) * 200 >= both * NEAR
-    pairs = pairs.where(some("run", "term") & some("term", "run"))
-    shared = common(F.col("run"), F.col("term"))
-    near = pairs.withColumn("c", shared).where((F.col("c") * 200 >= both * NEAR) & (F.col("c") * 200 < both * SAME)).select("run").distinct()
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    near = runs.select("run").distinct().repartition(tasks, "run").where(nearly("run"))
     return runs.join(near, "run", "left_semi").select(*keys).distinct()
