@@ -259,5 +259,6 @@ def near_misses(segments: DataFrame, terms: list[str], keys: tuple[str, ...] = (
 
     # as many tasks as there are cores: comparing is all the work, however few bytes the runs have
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    near = runs.select("run").distinct().repartition(tasks, "run").where(nearly("run"))
+    # said not to be deterministic, so that it isn't moved below the distinct
+    near = runs.select("run").distinct().repartition(tasks, "run").where(nearly.asNondeterministic()("run"))
     return runs.join(near, "run", "left_semi").select(*keys).distinct()
