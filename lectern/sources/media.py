@@ -126,3 +126,18 @@ def decode(content: bytes) -> np.ndarray:
             if have != want:
                 raise ValueError(f"{what} {have}, not {want}")
         return np.frombuffer(w.readframes(w.getnframes()), "<i2").astype(np.float32) / 32768
+
+
+def ground_truth(spark: SparkSession, folder: str, slugs: list[str]) -> DataFrame:
+    """``slug, must_contain, must_not_contain, samples`` of YAML files ``slug.yml`` or ``slug.yaml``; others have none."""
+    import os
+
+    rows = []
+    for s in slugs:
+        for suffix in (".yml", ".yaml"):
+            path = os.path.join(folder, s + suffix)
+            if os.path.exists(path):
+                y = _yaml(path)
+                rows.append((s, list(y.get("must_contain") or []), list(y.get("must_not_contain") or []), [(float(x.get("start", 0)), str(x.get("text", ""))) for x in y.get("sample_segments") or []]))
+                break
+    return spark.createDataFrame(rows, "slug string, must_contain array<string>, must_not_contain array<string>, samples array<struct<sample_s:double,text:string>>")
