@@ -29,6 +29,8 @@ from lectern.llm.forms import _class, _tables, canonical
 
 #: Buckets of each count table, a power of two; the model is TABLES times as many 32-bit numbers.
 BUCKETS = 1 << 18
+#: Different counts that a task holds before it puts them into buckets.
+HELD = 400_000
 END, MID, START, INNER, START2, INNER2, TABLES = 0, 1, 2, 3, 4, 5, 6
 THRESHOLD = 0.5
 #: The guess that a word and mark unseen so far end a sentence, and its weight in inner places for marks that don't abbreviate.
@@ -232,7 +234,8 @@ def _number(token: str) -> str:
 
 def _inner(tables: list[Counter]) -> None:
     """Words out of pairs: none of them first in a line or behind a mark."""
-    pairs, tables[INNER2] = tables[INNER2], Counter()
+    pairs = dict(tables[INNER2])
+    tables[INNER2].clear()
     for (a, b), n in pairs.items():
         if a not in MARKS and a not in CLOSERS:
             b = _number(b)
@@ -245,11 +248,10 @@ def _inner(tables: list[Counter]) -> None:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((TABLES, BUCKETS))
     whole = Counter()
-    for b in batches:
-        tables = [Counter() for _ in range(TABLES)]
-        for x in b.column(0).to_pylist():
-            if x:
-                counts(x, tables)
+    tables = [Counter() for _ in range(TABLES)]
+
+    def put() -> None:
+        """Into the buckets, so that the counters stay small."""
         _inner(tables)
         for k, table in enumerate(tables):
             for key, n in table.items():
@@ -258,6 +260,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 whole[k] += n
                 if k in (END, MID) and (key[1][0] != "." or _typical(key[0])):
                     total[k, _bucket("", key[1])] += n
+            table.clear()
+
+    for b in batches:
+        for x in b.column(0).to_pylist():
+            if x:
+                counts(x, tables)
+        if sum(map(len, tables)) > HELD:
+            put()
+    put()
     for k in range(TABLES):
         at = np.flatnonzero(total[k])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.full(len(at), k), TABLES + k), pa.int32()), pa.array(np.append(at, 0), pa.int32()), pa.array(np.append(total[k, at], whole[k]))], names=["table", "bucket", "n"])
