@@ -3,15 +3,26 @@
 from __future__ import annotations
 
 import getpass
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 LOCAL_SHARED = f"/tmp/lectern-{getpass.getuser()}"
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver did, wherever the session was started from."""
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; columns and filters of the caller reach the scan."""
+    reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
