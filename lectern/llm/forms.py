@@ -25,11 +25,11 @@ GREEK = {
     "α": "a", "γ": "y", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "ω": "w", "ϲ": "c", "ϳ": "j",
 }
 ARMENIAN = {
-    "Լ": "L", "Հ": "<", "Օ": "O", "Ս": "U", "Տ": "S",
+    "Լ": "L", "Օ": "O", "Ս": "U", "Տ": "S",
     "ց": "g", "զ": "q", "հ": "h", "ո": "n", "ս": "u", "օ": "o", "ք": "p",
 }
-LATIN = {"ı": "i", "ɑ": "a", "ɡ": "g", "ł": "l", "ø": "o", "đ": "d"}
-PROTOTYPES = {**CYRILLIC, **GREEK, **{k: v for k, v in ARMENIAN.items() if v != "<"}, **{k: v for k, v in LATIN.items() if k in "ıɑɡ"}}
+LATIN = {"ı": "i", "ɑ": "a", "ɡ": "g"}
+PROTOTYPES = {**CYRILLIC, **GREEK, **ARMENIAN, **LATIN}
 
 #: Thai and Lao vowels are single letters of their script, though a compatibility decomposition exists.
 NATIVE_COMPAT = "ำຳ"

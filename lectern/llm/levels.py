@@ -3,8 +3,8 @@
 Documents and words are the two sides of a graph; an edge weighs as much as the word takes of the document. Graded
 documents are clamped to the mean of their grades. A word's difficulty is the weighted mean of its documents', a
 document's that of its words, each word counting as far as it tells levels apart, and these means are taken in turn. As
-means shrink toward the middle, each round brings documents back to the grades' scale by a line for each script fitted on
-the graded ones.
+means shrink toward the middle, each round brings documents back to the grades' scale by a line for each script and language fitted
+on the graded ones.
 
 Words are hashed into a fixed number of nodes, so a round sends and gathers at most that many numbers, whatever the number
 of documents; the edges stay where they are, in a table in the shared folder.
@@ -35,13 +35,16 @@ WORD_PRIOR = 3.0
 #: Bins of a document's mean, over the scale of grades, in which graded documents are counted.
 BINS, LOW, HIGH = 800, 1.0, 5.0
 DEMANDING = 4
-#: Weight, in graded documents, of the line and cut over all scripts against a script's own.
+#: Kinds of document that are held to the grades' scale apart: its script and, in LANGS hashed classes, its stated language.
+LANGS = 16
+#: Weight, in graded documents, of the line and cut over all kinds against a kind's own.
 SCRIPT_PRIOR = 6.0
-CUT_PRIOR = 30.0
+CUT_PRIOR = 10.0
 
 #: Scripts by the letters that tell them, kana before Han.
 SCRIPTS = tuple(re.compile(f"[{c}]") for c in ("A-Za-zÀ-ɏẠ-ỹ", "Ѐ-ӿ", "぀-ヿ", "㐀-䶿一-鿿", "฀-๿", "ऀ-ॿ"))
 UNSPACED = re.compile("[฀-๿぀-ヿ㐀-䶿一-鿿]")
+KINDS = len(SCRIPTS) * LANGS
 EDGES = "script int, nodes array<int>, tokens array<int>"
 
 
@@ -69,11 +72,17 @@ def script_of(words: dict[str, int]) -> int:
     return int(np.argmax(n))
 
 
+def kind_of(words: dict[str, int], lang: str | None) -> int:
+    """Script and stated language of a document; languages that say nothing share a class."""
+    lang = (lang or "").strip().lower()
+    return script_of(words) * LANGS + (0 if lang in ("", "und") else 1 + zlib.crc32(lang.encode("utf-8", "surrogatepass")) % (LANGS - 1))
+
+
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, int] = {}
     for b in batches:
         scripts, nodes, counts = [], [], []
-        for text in b.column("text").to_pylist():
+        for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
             by: dict[int, int] = {}
             words = features(text or "")
             for w, n in words.items():
@@ -84,15 +93,16 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         known[w] = node
                 by[node] = by.get(node, 0) + n
             order = sorted(by)
-            scripts.append(script_of(words))
+            scripts.append(kind_of(words, lang))
             nodes.append(order)
             counts.append([by[k] for k in order])
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scripts, pa.int32()), pa.array(nodes, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "script", "nodes", "tokens"])
 
 
 def graph(documents: DataFrame, grades: DataFrame) -> DataFrame:
-    """``doc_id, script, nodes, tokens, grade``: a document's edges, and its mean grade where it has one."""
-    x = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(_edges, f"doc_id bigint, {EDGES}")
+    """``doc_id, script, nodes, tokens, grade``: a document's kind and edges, and its mean grade where it has one."""
+    lang = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
+    x = documents.select("doc_id", "text", lang.alias("lang")).where(F.col("doc_id").isNotNull()).mapInArrow(_edges, f"doc_id bigint, {EDGES}")
     # exact copies of a grade count once, two raters' equal grades twice
     g = grades.where("doc_id is not null and level is not null").groupBy("doc_id", "level", "rater", "rated_at").count()
     g = g.groupBy("doc_id").agg(F.avg("level").alias("grade"))
@@ -166,11 +176,11 @@ def _gather(df: DataFrame, words: Words | None) -> np.ndarray:
 
 
 def _graded(df: DataFrame, words: Words) -> np.ndarray:
-    """[script, bin, half grade]: graded documents by the bin of their mean, in numbers that don't grow with the data."""
+    """[kind, bin, half grade]: graded documents by the bin of their mean, in numbers that don't grow with the data."""
     shared = df.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(SCRIPTS), BINS, 9))
+        total = np.zeros((KINDS, BINS, 9))
         for b in batches:
             e = Edges.of(b)
             m = shared.value.means(e)
@@ -182,9 +192,9 @@ def _graded(df: DataFrame, words: Words) -> np.ndarray:
 
     x = df.where(F.col("grade").isNotNull()).select("script", "nodes", "tokens", "grade").mapInArrow(run, "cell bigint, n double")
     x = x.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(SCRIPTS) * BINS * 9)
+    out = np.zeros(KINDS * BINS * 9)
     out[x["cell"].to_numpy(np.int64)] = x["n"].to_numpy(np.float64)
-    return out.reshape(len(SCRIPTS), BINS, 9)
+    return out.reshape(KINDS, BINS, 9)
 
 
 def _line(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
@@ -196,15 +206,15 @@ def _line(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
 
 
 def calibrate(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each script the line from means to grades, and the mean that best parts grades of DEMANDING from lower ones.
+    """For each kind the line from means to grades, and the mean that best parts grades of DEMANDING from lower ones.
 
-    Scripts with few graded documents lean on all of them.
+    Kinds with few graded documents lean on all of them.
     """
     x = LOW + (np.arange(BINS) + 0.5) * (HIGH - LOW) / BINS
     y = 1 + np.arange(9) / 2
     xx, yy = np.repeat(x, 9), np.tile(y, BINS)
     whole = counts.sum(0)
-    lines, cuts = np.zeros((len(SCRIPTS), 2)), np.zeros(len(SCRIPTS))
+    lines, cuts = np.zeros((KINDS, 2)), np.zeros(KINDS)
     if not whole.sum():
         lines[:, 0], cuts[:] = 1.0, DEMANDING - 0.5
         return lines, cuts
@@ -244,7 +254,7 @@ def propagate(edges: DataFrame, rounds: int = ROUNDS) -> Words:
             seen = np.where(den > 0, num / np.maximum(den, 1e-12), mean)
             weight = np.abs((seen * n + mean * WORD_PRIOR) / (n + WORD_PRIOR) - mean) + 1e-3
         level = np.where(den > 0, num / np.maximum(den, 1e-12), mean)
-        words = Words(level.astype(np.float32), weight.astype(np.float32), np.zeros((len(SCRIPTS), 2)), np.zeros(len(SCRIPTS)))
+        words = Words(level.astype(np.float32), weight.astype(np.float32), np.zeros((KINDS, 2)), np.zeros(KINDS))
         words.lines, words.cuts = calibrate(_graded(edges, words))
     return words
 
