@@ -92,6 +92,17 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return x.select(*keys, *[F.col(f"__x.{c}").alias(c) for c in rest])
 
 
+def chosen(raw: DataFrame, corrected: DataFrame) -> DataFrame:
+    """The corrected segments of each video that has any, and the raw ones of the others."""
+    have = corrected.select("video_id").distinct()
+    return corrected.unionByName(raw.join(have, "video_id", "left_anti"), allowMissingColumns=True)
+
+
+def fresh_over(cached: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
+    """Cached and fresh answers together; where both are, the fresh one holds."""
+    return fresh.unionByName(cached.join(fresh.select(*keys), keys, "left_anti"))
+
+
 def split_cached(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(answered, to ask): requests by (video_id, id, request_hash) with their cached answer, and those without.
 

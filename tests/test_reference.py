@@ -303,3 +303,10 @@ def test_streaming_ingest_is_repeatable(spark, tmp_path):
     df.withColumn("video_id", F.lit(2).cast("bigint")).write.mode("append").parquet(src)
     ingest.flagged_into(ingest.arriving(spark, src, df.schema), out, mark).awaitTermination()
     assert spark.read.parquet(out).count() == 10
+
+
+def test_choice_of_source(spark):
+    raw = spark.createDataFrame([(1, 0, "a"), (2, 0, "b")], "video_id bigint, id bigint, text string")
+    done = spark.createDataFrame([(1, 0, "A", True)], "video_id bigint, id bigint, text string, needs_review boolean")
+    assert {r.video_id: (r.text, r.needs_review) for r in segments.chosen(raw, done).collect()} == {1: ("A", True), 2: ("b", None)}
+    assert {r.video_id: r.text for r in segments.fresh_over(raw, done.drop("needs_review"), ["video_id", "id"]).collect()} == {1: "A", 2: "b"}
