@@ -61,7 +61,9 @@ _OPENED = re.compile(f"[{re.escape(''.join(PAIRS) + ''.join(PAIRS.values()))}\"]
 def _patterns() -> dict[str, re.Pattern]:
     gap = rf"[\s{_class(_tables()['invisible'])}]"
     word = rf"[^\W\d_{CJK}{THAI}]+(?:[’'.-][^\W\d_{CJK}{THAI}]+)*"
-    particle = "|".join(PARTICLES)
+    # invisible characters may stand inside a particle
+    unseen = f"[{_class(_tables()['invisible'])}]*"
+    particle = "|".join(unseen.join(p) for p in PARTICLES)
     # “ closes where „ opens, and opens elsewhere
     close = {"": re.escape(CLOSERS), "„": re.escape(CLOSERS + "“")}
     event = r"(?P<p>{0})(?P<pc>[{1}]*)(?P<pw>{2}+)(?=\S)|(?P<m>[{3}]+)(?P<c>[{1}]*)(?P<w>{2}*)(?=\S)"
@@ -71,7 +73,6 @@ def _patterns() -> dict[str, re.Pattern]:
         **{"end" + k: re.compile(end.format(particle, c, gap, MARKS)) for k, c in close.items()},
         "token": re.compile(rf"[{CJK}]|[{THAI}]{{1,3}}|[ऀ-ॣ०-ॿ]+|\d+(?:[.,:]\d+)*|{word}|[^\w\s]|\S"),
         "gap": re.compile(rf"{gap}*"),
-        "maybe": re.compile(rf"[{MARKS}\r\n\v\f\x1c-\x1e\x85  ]|{particle}"),
     }
 
 
@@ -170,7 +171,7 @@ def events(line: str) -> list[Event]:
     quoted: list[tuple[int, int]] | None = None
     for m in _patterns()["event„" if "„" in line else "event"].finditer(line):
         if m["p"]:
-            begin, left, mark, start = m.end(), m["p"], "P" + "”" * bool(m["pc"]), m.start()
+            begin, left, mark, start = m.end(), canonical(m["p"]), "P" + "”" * bool(m["pc"]), m.start()
             closed_at, alone = m.end("pc"), False
         else:
             wide = m["m"][-1] in "。！？｡" or (m["m"][-1] == "…" and (_CJK.match(line, m.start() - 1) or _CJK.match(line, m.end())))
@@ -213,7 +214,7 @@ def counts(text: str, tables: list[Counter]) -> None:
         m = p["end„" if "„" in line else "end"].search(line)
         if m and m.start():
             if m["p"]:
-                left, mark = m["p"], "P" + "”" * bool(m["c"])
+                left, mark = canonical(m["p"]), "P" + "”" * bool(m["c"])
             else:
                 left, spaced, begin = _left(line, m.start())
                 mark = _mark(m["m"], bool(m["c"]), spaced)

@@ -177,7 +177,7 @@ def model(spark):
     [
         ("The server opens a bucket. The screen opens a folder.", [0, 27]), ("The server opens a bucket! the screen opens a folder", [0, 27]), ("Dr. Ostrel set the limit, approx. 12 calls per minute. The screen opens a folder.", [0, 55]),
         ("“Is the port open?” the trainer asked. The screen opens a bucket.", [0, 39]), ("Use v4.5.7 of Tidemark, i.e. the stable build. The worker opens a screen.", [0, 47]), ("no mark at all", [0]), ("one line\nanother line", [0, 9]),
-        ("  The server (opens. It) a bucket.  The screen opens a folder.", [2, 36]), ("長い箱を見ます。丸い窓を開ます。", [0, 8]), ("แฟ้มใหม่ครับ ภาพใหม่ค่ะ", [0, 13]), ("…", [0]),
+        ("  The server (opens. It) a bucket.  The screen opens a folder.", [2, 36]), ("長い箱を見ます。丸い窓を開ます。", [0, 8]), ("แฟ้มใหม่ครับ ภาพใหม่ค่ะ", [0, 13]), ("แฟ้มใหม่คร\u200bับ ภาพใหม่ค่ะ", [0, 14]), ("…", [0]),
     ],
 )
 def test_boundaries(model, text, begins):
