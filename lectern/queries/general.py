@@ -64,7 +64,21 @@ work AS (
   SELECT l.run_id, l.video_id FROM latest l LEFT JOIN seen d ON d.video_id = l.video_id AND d.run_id = l.done_run
   WHERE l.done_run IS NULL OR d.size_bytes <> l.size_bytes OR abs(d.mtime - l.mtime) > 1e-4)"""
 
+_FIELDS = (("avg_logprob", "avg_logprob <= 0"), ("no_speech_prob", "no_speech_prob BETWEEN 0 AND 1"), ("compression_ratio", "compression_ratio > 0"))
+_EACH = " UNION ALL ".join(f"SELECT video_id, id, '{f}' AS field, {f} AS x, isfinite({f}) AND {ok} AS ok FROM seg WHERE {f} IS NOT NULL" for f, ok in _FIELDS)
+_READINGS = f"""seg AS (SELECT DISTINCT video_id, id, avg_logprob, no_speech_prob, compression_ratio FROM segments_raw),
+readings AS ({_EACH}),
+levels AS (SELECT video_id, field, median(x) AS m FROM readings WHERE ok GROUP BY video_id, field),
+spreads AS (SELECT r.video_id, r.field, any_value(m) AS m, median(abs(x - m)) * 1.4826 AS s FROM readings r JOIN levels l ON l.video_id = r.video_id AND l.field = r.field WHERE ok GROUP BY r.video_id, r.field),
+islands AS (SELECT *, id - row_number() OVER (PARTITION BY video_id, field, x ORDER BY id) AS g FROM readings WHERE NOT isnan(x)),
+stuck AS (SELECT video_id, id, field FROM (SELECT *, count(*) OVER (PARTITION BY video_id, field, x, g) AS n FROM islands) q WHERE n >= 10),
+reasons AS (SELECT video_id, id, field, 'impossible' AS reason FROM readings WHERE NOT ok UNION ALL SELECT video_id, id, field, 'stuck' FROM stuck
+  UNION ALL SELECT r.video_id, r.id, r.field, 'spike' FROM readings r JOIN spreads s ON s.video_id = r.video_id AND s.field = r.field WHERE ok AND abs(x - m) > 8 * s)"""
+
 ORACLE = {
+    # exact medians, where the operator has quantile sketches
+    "p7_found": f"WITH {_READINGS} SELECT DISTINCT video_id, id AS seg_id, field FROM reasons",
+    "p7_reasons": f"WITH {_READINGS} SELECT video_id, field, reason, count(*) AS n_readings FROM reasons GROUP BY video_id, field, reason",
     "p4_found": f"WITH {_SPANS} SELECT video_id, window_index, m AS gap_from_ms, s AS gap_to_ms FROM reached WHERE s > m",
     "p4_periods": f"""WITH {_SPANS}, numbered AS (
   SELECT video_id, window_index, s, e, sum(CASE WHEN m IS NULL OR s > m THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, window_index ORDER BY s, e) AS p FROM reached)

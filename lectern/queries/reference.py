@@ -393,6 +393,9 @@ cues AS (SELECT video_id, (no - 1) // 1000 AS part, no, {cue} AS cue FROM number
 {cte}SELECT video_id, part, count(*) AS n_cues, string_agg(cue, chr(10) ORDER BY no) AS content FROM cues GROUP BY video_id, part"""
 
 
+_TITLE = f"""array_to_string(list_transform(list_filter(string_split(replace(slug, '_', '-'), '-'), lambda w: w <> ''),
+  lambda w: CASE WHEN lower(w) IN ({", ".join(f"'{a}'" for a in T.ACRONYMS)}) THEN upper(w) ELSE upper(w[1]) || w[2:] END), ' ')"""
+
 _LCS = """list_last(list_reduce(string_split(a, ''), lambda row, c: list_reduce(range(1, length(b) + 1), lambda acc, j:
   list_append(acc, CASE WHEN b[j] = c THEN row[j] + 1 ELSE greatest(row[j + 1], list_last(acc)) END), [0::BIGINT]), list_transform(range(0, length(b) + 1), lambda z: 0::BIGINT)))"""
 _SHARED = f"""pairs AS (SELECT rule_id, {_strip("from_text")} AS a, {_strip("to_text")} AS b FROM correction_rules), shared AS (SELECT *, {_LCS} AS shared FROM pairs)"""
@@ -426,8 +429,7 @@ SELECT video_id, seq, status, CASE WHEN status = 'FAILED' THEN k ELSE greatest(k
     "final_statuses": "SELECT id, CASE WHEN coalesce(needs_review_count, 0) > 0 THEN 'NEEDS_REVIEW' ELSE 'COMPLETED' END AS final FROM videos",
     "fold_terms": "SELECT glossary_id, CAST(i - 1 AS INTEGER) AS place, replace(lower(strip_accents(terms[i])), 'đ', 'd') AS folded FROM (SELECT glossary_id, terms, unnest(range(1, len(terms) + 1)) AS i FROM glossary_files) q",
     "slug_of_videos": """SELECT id, CASE WHEN s = '' THEN 'video' ELSE s END AS slug FROM (SELECT id, regexp_replace(left(regexp_replace(regexp_replace(replace(lower(strip_accents(filename)), 'đ', 'd'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), '-+$', '') AS s FROM videos) q""",
-    "titles": f"""SELECT id, array_to_string(list_transform(list_filter(string_split(replace(slug, '_', '-'), '-'), lambda w: w <> ''),
-  lambda w: CASE WHEN lower(w) IN ({", ".join(f"'{a}'" for a in T.ACRONYMS)}) THEN upper(w) ELSE upper(w[1]) || w[2:] END), ' ') AS title FROM videos""",
+    "titles": f"SELECT id, {_TITLE} AS title FROM videos",
     "cue_times": f"WITH {_SEG} SELECT video_id, id, {_srt('start_s')} AS srt_start, {_srt('end_s')} AS srt_end, {_clock('start_s')} AS clock_start FROM seg WHERE start_s IS NOT NULL AND end_s IS NOT NULL",
     "durations": f"SELECT video_id, {_human('duration_seconds')} AS length, {_human('processing_seconds')} AS took FROM transcripts",
     "lines": f"WITH {_SEG} SELECT video_id, id, {_line('text')} AS line, CASE WHEN text IS NULL THEN NULL ELSE len({_tokens('text')}) END AS n_tokens FROM seg",
@@ -457,6 +459,21 @@ SELECT video_id, row_number() OVER p - 1 AS window_no, round(least(sum(end_ms -
     "renumbered": f"WITH {_SEG} SELECT video_id, id, row_number() OVER (PARTITION BY video_id ORDER BY window_index NULLS FIRST, id) - 1 AS new_id FROM seg WHERE length({_strip('text')}) > 0",
     "srt_documents": _parts("", f"no || chr(10) || {_srt('start_s')} || ' --> ' || {_srt('end_s')} || chr(10) || line || chr(10)", "start_s IS NOT NULL AND end_s IS NOT NULL"),
     "txt_documents": _parts("", "line"),
+    "json_documents": "SELECT DISTINCT video_id, CAST(to_json(struct_pack(filename := filename, size_bytes := size_bytes, model := model, language := language)) AS VARCHAR) AS document FROM transcripts",
+    "md_documents": f"""WITH {_SEG}, m AS (SELECT *, coalesce(avg_logprob < -0.7, false) AS review FROM seg),
+st AS (SELECT video_id, count(*) AS n, count(*) FILTER (review) AS r, arg_max_null(end_s, id) AS e FROM m GROUP BY video_id),
+h AS (SELECT DISTINCT t.video_id, {_TITLE} AS title, t.filename, t.duration_seconds, t.model, t.language FROM transcripts t JOIN videos v ON v.id = t.video_id),
+hs AS (SELECT h.*, st.n, st.r, coalesce(nullif(duration_seconds, 0), e, 0) AS len FROM h JOIN st ON st.video_id = h.video_id),
+heads AS (SELECT video_id, '# ' || title || chr(10) || chr(10) || '- source: `' || filename || '`' || chr(10) || '- duration: ' || {_clock("len")} || chr(10) || '- model: ' || coalesce(model, 'None') || chr(10)
+  || '- language: ' || coalesce(language, 'None') || chr(10) || '- segments: ' || n || chr(10) || '- needs_review: ' || r || chr(10) || chr(10) || '## Transcript' || chr(10) || chr(10) AS head FROM hs),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY id) AS no, {_line("coalesce(text, '')")} AS line FROM m WHERE start_s IS NOT NULL AND end_s IS NOT NULL),
+cues AS (SELECT video_id, (no - 1) // 1000 AS part, no, '[' || {_clock("start_s")} || ' - ' || {_clock("end_s")} || ']' || CASE WHEN review THEN ' <!-- needs_review -->' ELSE '' END || chr(10) || line || chr(10) AS cue FROM numbered),
+parts AS (SELECT video_id, part, count(*) AS n_cues, string_agg(cue, chr(10) ORDER BY no) AS content FROM cues GROUP BY video_id, part)
+SELECT p.video_id, part, n_cues, CASE WHEN part = 0 THEN head || content ELSE content END AS content FROM parts p JOIN heads ON heads.video_id = p.video_id""",
+    "projected_times": f"""WITH {_SEG}, i AS (SELECT video_id, id, window_index, round_even((window_index * 30.0::DOUBLE + start_s % 30.0::DOUBLE) * 1000, 0) AS s,
+    round_even(least(window_index * 30.0::DOUBLE + end_s % 30.0::DOUBLE, window_index * 30.0::DOUBLE + 30) * 1000, 0) AS e
+  FROM seg WHERE window_index IS NOT NULL AND start_s IS NOT NULL AND end_s IS NOT NULL AND length({_strip("text")}) > 0)
+SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY window_index, id) - 1 AS id, CAST(s AS BIGINT) AS start_ms, CAST(CASE WHEN e <= s THEN s + 100 ELSE e END AS BIGINT) AS end_ms FROM i""",
     "transcript_stats": f"""WITH {_SEG}, s AS (SELECT video_id, count(*) AS n_segments, arg_max_null(end_s, id) AS last_end, count(*) FILTER (length({_strip('text')}) > 0) AS n_with_text, round(avg(CASE WHEN isfinite(avg_logprob) THEN CAST(round_even(avg_logprob * 1e6, 0) AS BIGINT) END), 3) AS mean_logprob_millionths FROM seg GROUP BY video_id),
 t AS (SELECT DISTINCT video_id, duration_seconds, processing_seconds FROM transcripts), j AS (SELECT t.*, s.n_segments, s.n_with_text, s.mean_logprob_millionths, coalesce(nullif(duration_seconds, 0), last_end, 0) AS length_s FROM t LEFT JOIN s ON s.video_id = t.video_id)
 SELECT video_id, n_segments, n_with_text, mean_logprob_millionths, length_s, round(processing_seconds / greatest(length_s, 1e-4), 6) AS real_time_factor FROM j""",
