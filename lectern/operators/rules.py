@@ -214,23 +214,28 @@ def correct(segments: DataFrame, rules: list[Rule], terms: list[str]) -> DataFra
 
 
 class Near:
-    """Whether a run is nearly one of the terms, and none of them. Terms wait by length and with their letters."""
+    """Whether a run is nearly one of the terms, and none of them. Terms wait by length, their letters as bits."""
 
     def __init__(self, terms: list[str]):
         self.terms = set(terms)
-        self.by: dict[int, list[tuple[str, frozenset[str]]]] = {}
+        self.bit = {c: 1 << i for i, c in enumerate(sorted(set("".join(terms))))}
+        self.by: dict[int, list[tuple[str, int]]] = {}
         for t in terms:
-            self.by.setdefault(len(t), []).append((t, frozenset(t)))
+            self.by.setdefault(len(t), []).append((t, self._letters(set(t))))
+
+    def _letters(self, letters: set[str]) -> int:
+        return sum(self.bit.get(c, 0) for c in letters)
 
     def __call__(self, run: str) -> bool:
         if run in self.terms:
             return False
-        n, letters = len(run), set(run)
+        n, letters = len(run), self._letters(set(run))
+        strange = sum(c not in self.bit for c in run)
         for m in range(-(-n * NEAR // (200 - NEAR)), n * (200 - NEAR) // NEAR + 1):
             least = -(-NEAR * (n + m) // 200)
             for term, has in self.by.get(m, ()):
                 # letters that the other lacks can't be shared
-                if n - least < sum(map(run.count, letters - has)) or m - least < sum(map(term.count, has - letters)):
+                if strange + (letters & ~has).bit_count() > n - least or (has & ~letters).bit_count() > m - least:
                     continue
                 if lcs(run, term) >= least:
                     return True
