@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators import rules, segments
+from lectern.session import materialise
 from lectern.sources.settings import Settings
 
 
@@ -63,14 +64,21 @@ def answers_of(asked: DataFrame) -> DataFrame:
     return x.select("video_id", "batch", F.posexplode("a.results").alias("place", "r")).select("video_id", (F.col("batch") * 1_000_000 + F.col("place")).alias("ord"), "r.*").where("id is not null")
 
 
+def flagged(raw: DataFrame, rule_table: DataFrame, glossary: DataFrame) -> DataFrame:
+    """Segments spelled and corrected, with ``flags`` by all eight checks on the corrected text.
+
+    Corrections are written once, since the near misses and the segments themselves both start from them."""
+    made, terms = rules.settings_of(rule_table, glossary)
+    x = materialise(rules.correct(segments.once(raw), made, terms), "corrected")
+    near = rules.near_misses(x, terms).withColumn("__near", F.lit(True))
+    return x.join(near, ["video_id", "id"], "left").withColumn("flags", segments.flags_of("text", F.col("__near"), F.size("candidates") > 0)).drop("__near")
+
+
 def correct(raw: DataFrame, rule_table: DataFrame, glossary: DataFrame, settings: Settings | None = None, answerer: Answerer | None = None) -> DataFrame:
     """Segments spelled, corrected, flagged and, with an answerer, asked about and decided. One shuffle on video_id serves
     all ordered steps. Without an answerer every flagged segment needs review."""
     settings = settings or Settings()
-    made, terms = rules.settings_of(rule_table, glossary)
-    x = rules.correct(segments.once(raw), made, terms)
-    near = rules.near_misses(x, terms).withColumn("__near", F.lit(True))
-    x = x.join(near, ["video_id", "id"], "left").withColumn("flags", segments.flags_of("text", F.col("__near"), F.size("candidates") > 0)).drop("__near")
+    x = flagged(raw, rule_table, glossary)
     if answerer is None:
         return x.withColumn("asked", F.lit(False)).withColumn("accepted", F.lit(False)).withColumn("rejected_reason", F.lit(None).cast("string")).withColumn("needs_review", F.size("flags") > 0)
     x = segments.with_neighbours(x)

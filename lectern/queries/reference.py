@@ -152,11 +152,12 @@ def neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _flagged(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores, speed, length and repetition of the texts as they came; the queries of all eight checks use _flagged_by_all."""
     return _segments(spark, sf).withColumn("flags", segments.flags_of())
 
 
 def segment_flags(spark: SparkSession, sf: str) -> DataFrame:
-    """All checks but that of repetition, which SQL can't say."""
+    """The five checks that SQL can say; all_segment_flags has all eight."""
     x = _flagged(spark, sf).select("video_id", "id", F.array_join(F.array_remove("flags", "REPETITION"), ",").alias("flags"))
     return x.where("flags <> ''")
 
@@ -166,20 +167,47 @@ def flag_repetition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def flag_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the five checks that SQL can say; all_flag_counts has all eight."""
     x = _flagged(spark, sf).withColumn("flags", F.array_remove("flags", "REPETITION"))
     return segments.flag_histogram(x, ["video_id"])
 
 
 def top_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the five checks that SQL can say; all_top_flags has all eight."""
     x = _flagged(spark, sf).withColumn("flags", F.array_remove("flags", "REPETITION"))
     return segments.flag_histogram(x, ["video_id"], 3).select("video_id", "flag", "n", F.col("rank").cast("bigint").alias("rank"))
 
 
 def llm_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the five checks that SQL can say; all_llm_batches has all eight."""
     x = _flagged(spark, sf).withColumn("flags", F.array_remove("flags", "REPETITION")).where(F.size("flags") > 0)
     return segments.batches(x).groupBy("video_id", "batch").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
+def _flagged_by_all(spark: SparkSession, sf: str) -> DataFrame:
+    used = ["video_id", "id", "start_s", "end_s", "text", "avg_logprob", "no_speech_prob", "compression_ratio"]
+    return pipeline.flagged(table(spark, sf, "segments_raw").select(*used), table(spark, sf, "correction_rules"), table(spark, sf, "glossary_files"))
+
+
+def all_segment_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """All eight checks on the corrected texts, near misses and candidates among them; no SQL says these."""
+    return _flagged_by_all(spark, sf).select("video_id", "id", F.array_join("flags", ",").alias("flags")).where("flags <> ''")
+
+
+def all_flag_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return segments.flag_histogram(_flagged_by_all(spark, sf), ["video_id"])
+
+
+def all_top_flags(spark: SparkSession, sf: str) -> DataFrame:
+    return segments.flag_histogram(_flagged_by_all(spark, sf), ["video_id"], 3).select("video_id", "flag", "n", F.col("rank").cast("bigint").alias("rank"))
+
+
+def all_llm_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches of all segments that fail any of the eight checks: what the pipeline asks about."""
+    x = segments.batches(_flagged_by_all(spark, sf).where(F.size("flags") > 0))
+    return x.groupBy("video_id", "batch").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
 def request_keys(spark: SparkSession, sf: str) -> DataFrame:
     x = segments.with_neighbours(_segments(spark, sf, "text")).withColumn("flags", F.array(F.lit("b"), F.lit("a")))
     return x.select("video_id", "id", segments.request_hash(F.lit(None).cast("string")).alias("request_hash"))
@@ -335,7 +363,7 @@ QUERIES = {
     for f in (
         srt_documents, txt_documents, md_documents, json_documents, status_counts, status_shares, work_transcribe, work_correct, work_correct_forced, work_export, next_ten_to_export, latest_state,
         attempts_running, stage_finished, listing_actions, scan_report, final_statuses, upserted, fold_terms, slug_of_videos, unique_slugs, titles, cue_times, durations, lines, rule_ngrams, digit_runs,
-        vad_settings, neighbours, segment_flags, flag_repetition, flag_counts, top_flags, llm_batches, request_keys, cache_split, gate_decisions, rule_likeness, rule_word_distance, corrected_segments,
+        vad_settings, neighbours, segment_flags, flag_repetition, flag_counts, top_flags, llm_batches, all_segment_flags, all_flag_counts, all_top_flags, all_llm_batches, request_keys, cache_split, gate_decisions, rule_likeness, rule_word_distance, corrected_segments,
         near_misses, correction_counters, differences, speech_windows, window_progress, renumbered, projected_times, transcript_stats, nearest_segments, term_recall, word_errors, bench_grid, event_rates,
     )
 }
