@@ -62,20 +62,17 @@ def unspaced(tokens: list[str]) -> bool:
     return 2 * sum(bool(_SINGLE.match(t)) for t in tokens) > len(tokens)
 
 
-def passage(weights: np.ndarray) -> tuple[int, int]:
-    """Of an item, the fewest tokens that a passage of PART of its weight has, and how many of them may be exchanged."""
-    total = weights.sum()
-    half = int(np.ceil(total * PART - 1e-9))
-    reach = np.concatenate([[0.0], np.cumsum(weights)])
-    first = np.flatnonzero(reach <= total - half + 1e-9)
-    tokens = int((np.searchsorted(reach, reach[first] + half - 1e-9) - first).min())
-    return max(1, tokens), int(half * EXCHANGED + 1e-9)
-
-
 def least_run(weights: np.ndarray) -> int:
-    """The longest verbatim run that every such passage has at least: what is exchanged can only part it so often."""
-    tokens, exchanged = passage(weights)
-    return max(1, -(-(tokens - exchanged) // (exchanged + 1)))
+    """The longest verbatim run that every passage has at least: what is exchanged can only part it so often.
+
+    A longer passage may have more exchanged and so guarantee less than the shortest one.
+    """
+    reach = np.concatenate([[0.0], np.cumsum(weights)])
+    span = reach[None, :] - reach[:, None]
+    place = np.arange(len(reach))
+    long = span >= np.ceil(reach[-1] * PART - 1e-9) - 1e-9
+    tokens, exchanged = (place[None, :] - place[:, None])[long], np.floor(span[long] * EXCHANGED + 1e-9)
+    return max(1, int(np.ceil((tokens - exchanged) / (exchanged + 1) - 1e-9).min()))
 
 
 def least_covered(weights: np.ndarray, seed: int) -> int:
