@@ -300,11 +300,20 @@ def txt_documents(spark: SparkSession, sf: str) -> DataFrame:
     return render.txt(_segments(spark, sf, "text"))
 
 
-def md_documents(spark: SparkSession, sf: str) -> DataFrame:
+def _markdown(spark: SparkSession, sf: str, timed_only: bool) -> DataFrame:
     x = _segments(spark, sf, "start_s", "end_s", "text", "avg_logprob").withColumn("needs_review", F.coalesce(F.col("avg_logprob") < segments.LOW_LOGPROB, F.lit(False)))
     heads = table(spark, sf, "transcripts").select("video_id", "filename", "duration_seconds", "model", "language").distinct()
     slugs = table(spark, sf, "videos").select(F.col("id").alias("video_id"), "slug")
-    return render.markdown(x, heads.join(slugs, "video_id"))
+    return render.markdown(x, heads.join(slugs, "video_id"), timed_only)
+
+
+def md_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments with both times, as SQL says; all_md_documents has all."""
+    return _markdown(spark, sf, True)
+
+
+def all_md_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return _markdown(spark, sf, False)
 
 
 def json_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -361,7 +370,7 @@ def event_rates(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        srt_documents, txt_documents, md_documents, json_documents, status_counts, status_shares, work_transcribe, work_correct, work_correct_forced, work_export, next_ten_to_export, latest_state,
+        srt_documents, txt_documents, md_documents, all_md_documents, json_documents, status_counts, status_shares, work_transcribe, work_correct, work_correct_forced, work_export, next_ten_to_export, latest_state,
         attempts_running, stage_finished, listing_actions, scan_report, final_statuses, upserted, fold_terms, slug_of_videos, unique_slugs, titles, cue_times, durations, lines, rule_ngrams, digit_runs,
         vad_settings, neighbours, segment_flags, flag_repetition, flag_counts, top_flags, llm_batches, all_segment_flags, all_flag_counts, all_top_flags, all_llm_batches, request_keys, cache_split, gate_decisions, rule_likeness, rule_word_distance, corrected_segments,
         near_misses, correction_counters, differences, speech_windows, window_progress, renumbered, projected_times, transcript_stats, nearest_segments, term_recall, word_errors, bench_grid, event_rates,

@@ -31,7 +31,10 @@ def _joined(x: DataFrame, cue: Column, between: str) -> DataFrame:
 
 
 def srt(segments: DataFrame) -> DataFrame:
-    """``video_id, part, n_cues, content``: numbered cues with a blank line between; parts join by a line break."""
+    """``video_id, part, n_cues, content``: numbered cues with a blank line between; parts join by a line break.
+
+    A cue needs both times, so segments without start or end are left out; text and Markdown keep them.
+    """
     cue = F.concat(F.col("no").cast("string"), F.lit("\n"), T.srt_time("start_s"), F.lit(" --> "), T.srt_time("end_s"), F.lit("\n"), F.col("line"), F.lit("\n"))
     return _joined(_cues(segments.where("start_s is not null and end_s is not null")), cue, "\n")
 
@@ -41,18 +44,24 @@ def txt(segments: DataFrame) -> DataFrame:
     return _joined(_cues(segments), F.col("line"), "\n")
 
 
-def markdown(segments: DataFrame, headers: DataFrame) -> DataFrame:
+def markdown(segments: DataFrame, headers: DataFrame, timed_only: bool = False) -> DataFrame:
     """The first part opens with title and facts of its transcript; cues say where review is needed.
 
     ``segments`` has needs_review; ``headers``: video_id, slug, filename, duration_seconds, model, language.
+    Lines without start or end have the time that is known beside the hyphen, those without both no span; ``timed_only``
+    leaves both out, though the facts count them.
     """
     stats = segments.groupBy("video_id").agg(F.count("*").alias("__n"), F.count_if("needs_review").alias("__review"), F.max_by("end_s", "id").alias("__end"))
     length = F.coalesce(F.nullif("duration_seconds", F.lit(0.0)), F.col("__end"), F.lit(0.0))
     lines = ["# ", T.title_of("slug"), "\n\n- source: `", F.col("filename"), "`\n- duration: ", T.clock(length), "\n- model: ", F.col("model"), "\n- language: ", F.col("language"), "\n- segments: ", F.col("__n").cast("string"), "\n- needs_review: ", F.col("__review").cast("string"), "\n\n## Transcript\n\n"]
     head = F.concat(*[F.lit(x) if isinstance(x, str) else F.coalesce(x, F.lit("None")) for x in lines])
     heads = headers.join(stats, "video_id").select("video_id", head.alias("head"))
-    cue = F.concat(F.lit("["), T.clock("start_s"), F.lit(" - "), T.clock("end_s"), F.lit("]"), F.when(F.col("needs_review"), " <!-- needs_review -->").otherwise(""), F.lit("\n"), F.col("line"), F.lit("\n"))
-    x = _joined(_cues(segments.where("start_s is not null and end_s is not null")), cue, "\n").join(heads, "video_id")
+    begin, end = (F.when(F.col(c).isNotNull(), T.clock(c)) for c in ("start_s", "end_s"))
+    span = F.when(begin.isNotNull() | end.isNotNull(), F.concat(F.lit("["), F.coalesce(F.concat(begin, F.lit(" ")), F.lit("")), F.lit("-"), F.coalesce(F.concat(F.lit(" "), end), F.lit("")), F.lit("]")))
+    marked = F.concat_ws(" ", span, F.when(F.col("needs_review"), "<!-- needs_review -->"))
+    cue = F.concat(F.when(marked != "", F.concat(marked, F.lit("\n"))).otherwise(""), F.col("line"), F.lit("\n"))
+    kept = segments.where("start_s is not null and end_s is not null") if timed_only else segments
+    x = _joined(_cues(kept), cue, "\n").join(heads, "video_id")
     return x.select("video_id", "part", "n_cues", F.when(F.col("part") == 0, F.concat("head", "content")).otherwise(F.col("content")).alias("content"))
 
 
