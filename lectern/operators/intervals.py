@@ -194,11 +194,16 @@ def periods(df: DataFrame, keys: list[str], start: str = "start_s", end: str = "
     x = _pieces(df, keys, start, end)
     salt = F.when(F.col("kind") == 1, F.lit(None)).otherwise(F.col("cell"))
     w = Window.partitionBy(*keys, salt).orderBy("kind", "cell", "a")
-    x = x.select(*keys, "kind", "a", "b", F.lag("b").over(w).alias("before"), F.lead("a").over(w).alias("after"))
+    x = x.select(*keys, "cell", "kind", "a", "b", F.lag("b").over(w).alias("before"), F.lead("a").over(w).alias("after"))
     # a bound row: a period's start with the one end that may be known, or the reverse
     opens = F.when((F.col("kind") == 0), F.col("b")).when(F.col("before").isNull() | (F.col("before") < F.col("a")), F.col("a"))
     closes = F.when((F.col("kind") == 0), F.col("a")).when(F.col("after").isNull() | (F.col("after") > F.col("b")), F.col("b"))
-    x = x.select(*keys, F.explode(F.array(F.struct(opens.alias("t"), F.lit(1).alias("o")), F.struct(closes.alias("t"), F.lit(0).alias("o")))).alias("x")).where("x.t is not null")
-    w = Window.partitionBy(*keys).orderBy("t", "o")
-    x = x.select(*keys, F.col("x.t").alias("t"), F.col("x.o").alias("o")).withColumn("to_ms", F.lead("t").over(w))
+    x = x.select(*keys, "cell", F.explode(F.array(F.struct(opens.alias("t"), F.lit(1).alias("o")), F.struct(closes.alias("t"), F.lit(0).alias("o")))).alias("x")).where("x.t is not null")
+    # bounds pair up within their cell; a cell leaves at most an open start and an open end, and only these meet by key
+    w = Window.partitionBy(*keys, "cell").orderBy("t", "o")
+    x = x.select(*keys, "cell", F.col("x.t").alias("t"), F.col("x.o").alias("o"))
+    x = x.withColumn("to_ms", F.lead("t").over(w)).withColumn("alone", F.when(F.col("o") == 1, F.col("to_ms").isNull()).otherwise(F.lag("t").over(w).isNull()))
+    x = x.where(F.col("alone") | (F.col("o") == 1))
+    w = Window.partitionBy(*keys, F.when(F.col("alone"), F.lit(None)).otherwise(F.col("cell"))).orderBy("t", "o")
+    x = x.withColumn("to_ms", F.when(F.col("alone"), F.lead("t").over(w)).otherwise(F.col("to_ms")))
     return x.where("o = 1").select(*keys, F.col("t").alias("from_ms"), "to_ms")

@@ -21,10 +21,26 @@ def p4_periods(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.periods(table(spark, sf, "segments_raw"), WINDOW)
 
 
+def _view(spark: SparkSession, sf: str, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-2-{hashlib.sha256(sf.encode()).hexdigest()[:24]}"
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     # the view outlives the call: the next over the same tables remakes only partitions that changed
-    path = f"{shared_dir(spark)}/work-lists-1-{hashlib.sha256(sf.encode()).hexdigest()[:24]}"
-    return incremental.work_lists(spark, table(spark, sf, "video_scans"), table(spark, sf, "scan_runs"), path)
+    return incremental.work_lists(spark, table(spark, sf, "video_scans"), table(spark, sf, "scan_runs"), _view(spark, sf, "work-lists"))
+
+
+def p6_next_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The work lists after one more run, succeeded, that saw the videos whose id is divisible by 100, changed.
+
+    The view of all runs is brought up to date first, so this run adds its own partitions and remakes no other."""
+    scans, runs = table(spark, sf, "video_scans"), table(spark, sf, "scan_runs").select("run_id", "outcome")
+    new = runs.agg((F.max("run_id") + 1).alias("run_id"), F.lit("succeeded").alias("outcome"))
+    seen = scans.where("video_id % 100 = 0 and size_bytes is not null and mtime is not null").groupBy("video_id").agg(F.max_by(F.struct("path", "size_bytes", "mtime"), F.struct("run_id", "seen_at")).alias("x"), F.max("scan_id").alias("scan_id"), F.max("seen_at").alias("seen_at"))
+    seen = seen.crossJoin(F.broadcast(new.select("run_id"))).select("scan_id", "run_id", "video_id", "x.path", (F.col("x.size_bytes") + 1).alias("size_bytes"), "x.mtime", F.lit("COMPLETED").alias("status"), "seen_at")
+    path = _view(spark, sf, "next-run")
+    incremental.WorkLists(spark, path, scans, runs).refresh()
+    return incremental.work_lists(spark, scans.unionByName(seen), runs.unionByName(new), path)
 
 
 def p6_backlog(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,7 +59,7 @@ def p7_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return x.groupBy("video_id", "field", "reason").agg(F.count("*").alias("n_readings"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_periods, p6_found, p6_backlog, p7_found, p7_reasons)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_periods, p6_found, p6_next_run, p6_backlog, p7_found, p7_reasons)}
 
 _SPANS = """spans AS (
   SELECT DISTINCT video_id, window_index, CAST(round(start_s * 1000) AS BIGINT) AS s, CAST(round(end_s * 1000) AS BIGINT) AS e
@@ -84,5 +100,9 @@ ORACLE = {
   SELECT video_id, window_index, s, e, sum(CASE WHEN m IS NULL OR s > m THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, window_index ORDER BY s, e) AS p FROM reached)
 SELECT video_id, window_index, min(s) AS from_ms, max(e) AS to_ms FROM numbered GROUP BY video_id, window_index, p""",
     "p6_found": f"WITH {_WORK} SELECT run_id, video_id FROM work",
+    "p6_next_run": f"""WITH last AS (SELECT video_id, max((run_id, seen_at)) AS l FROM video_scans WHERE video_id % 100 = 0 AND size_bytes IS NOT NULL AND mtime IS NOT NULL GROUP BY video_id),
+added AS (SELECT DISTINCT (SELECT max(run_id) + 1 FROM scan_runs) AS run_id, v.video_id, v.size_bytes + 1 AS size_bytes, v.mtime, 'COMPLETED' AS status FROM video_scans v JOIN last ON last.video_id = v.video_id AND (v.run_id, v.seen_at) = last.l WHERE v.size_bytes IS NOT NULL AND v.mtime IS NOT NULL),
+{_WORK.replace("video_scans v LEFT JOIN scan_runs r", "(SELECT run_id, video_id, size_bytes, mtime, status FROM video_scans UNION ALL SELECT * FROM added) v LEFT JOIN (SELECT run_id, outcome FROM scan_runs UNION ALL SELECT max(run_id) + 1, 'succeeded' FROM scan_runs) r")}
+SELECT run_id, video_id FROM work""",
     "p6_backlog": f"WITH {_WORK}, runs AS (SELECT DISTINCT run_id, outcome FROM scan_runs) SELECT w.run_id, r.outcome, count(*) AS n_videos FROM work w LEFT JOIN runs r ON r.run_id = w.run_id GROUP BY w.run_id, r.outcome",
 }

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import getpass
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-LOCAL_SHARED = f"/tmp/lectern-{getpass.getuser()}"
 
 
 def reach_workers(spark: SparkSession) -> None:
@@ -27,10 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. A private one is set only where the session names none."""
+    """The folder in ``spark.checkpoint.dir``, which all executors share.
+
+    Where the session names none, a session on one machine (``local[...]``, as in tests) gets a new temporary one; on a
+    cluster there is no folder to guess, and that is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = LOCAL_SHARED
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="lectern-")
         spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

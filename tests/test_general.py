@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import control_chart, incremental, intervals
@@ -105,18 +106,35 @@ def test_work_lists_and_what_is_remade(spark, tmp_path):
     got = incremental.work_lists(spark, spark.createDataFrame(copies, SCANS), runs, path)
     assert {tuple(r) for r in got.collect()} == brute_work(scans, outcome) and got.count() == len(brute_work(scans, outcome))
 
-    view = incremental.PartitionedView(spark, path + "2", "video_id", lambda x: incremental.work(incremental.sightings(x, runs)), incremental.WORK_SCHEMA)
-    source = spark.createDataFrame(copies, SCANS)
-    assert len(view.refresh(source)) > 1
-    assert view.refresh(source) == []
-    changed = [(r[0], r[1], (r[2] or 0) + 5, *r[3:]) if (r[0], r[1]) == scans[-1][:2] else r for r in copies]
-    remade = view.refresh(spark.createDataFrame(changed, SCANS))
-    assert len(remade) == 1
-    assert {tuple(r) for r in view.read().collect()} == brute_work(list(dict.fromkeys(changed)), outcome)
+    def refreshed(rows, runs=runs):
+        lists = incremental.WorkLists(spark, path + "2", spark.createDataFrame(rows, SCANS), runs)
+        return lists.refresh(), {tuple(r) for r in lists.read().collect()}
+
+    everything = len(refreshed(copies)[0])
+    assert everything > len(outcome)
+    assert refreshed(copies) == ([], brute_work(scans, outcome))
+    # a sighting of the last run concerns no other partition
+    at_end = next(r for r in scans if r[0] == 5)
+    changed = [(r[0], r[1], (r[2] or 0) + 5, *r[3:]) if r[:2] == at_end[:2] else r for r in copies]
+    remade, got = refreshed(changed)
+    assert len(remade) == 1 and remade[0][0] == 5 and got == brute_work(list(dict.fromkeys(changed)), outcome)
     # rows that are gone leave no results behind
-    left = [r for r in changed if r[1] != scans[-1][1]]
-    assert len(view.refresh(spark.createDataFrame(left, SCANS))) == 1
-    assert {tuple(r) for r in view.read().collect()} == brute_work(list(dict.fromkeys(left)), outcome)
+    left = [r for r in changed if r[1] != at_end[1]]
+    remade, got = refreshed(left)
+    assert len({r[1] for r in remade}) == 1 and got == brute_work(list(dict.fromkeys(left)), outcome)
+    # a late sighting that ended nothing concerns its own run alone, one that ended a video's work the later ones too
+    late = [(4, 39, 777, 5.0, "COMPLETED", at, "x")]
+    remade, got = refreshed([r for r in left if r[:2] != (4, 39)] + late)
+    assert {r[0] for r in remade} <= {4}
+    left = [r for r in left if r[:2] not in ((4, 39), (3, 38))] + late + [(3, 38, 778, 5.0, "COMPLETED", at, "x")]
+    remade, got = refreshed(left)
+    assert {r[0] for r in remade} <= {3, 4, 5} and len({r[1] for r in remade}) == 1 and got == brute_work(list(dict.fromkeys(left)), outcome)
+    # one more run, with one video changed, adds its partition and remakes none, whatever becomes of it
+    new = left + [(6, 7, 999, 1.0, "COMPLETED", at, "x")]
+    for end in ("aborted", "succeeded"):
+        outcome[6] = end
+        remade, got = refreshed(new, spark.createDataFrame(list(outcome.items()), "run_id bigint, outcome string"))
+        assert [r[0] for r in remade] == ([6] if end == "aborted" else []) and got == brute_work(list(dict.fromkeys(new)), outcome)
 
 
 def test_a_lost_partition_is_made_again(spark, tmp_path):
@@ -125,12 +143,50 @@ def test_a_lost_partition_is_made_again(spark, tmp_path):
 
     rows = [(1, v, 10, 1.0, "COMPLETED", None, "") for v in range(20)]
     runs = spark.createDataFrame([(1, "succeeded")], "run_id bigint, outcome string")
-    source = spark.createDataFrame(rows, SCANS)
-    view = incremental.PartitionedView(spark, str(tmp_path / "v"), "video_id", lambda x: incremental.work(incremental.sightings(x, runs)), incremental.WORK_SCHEMA)
-    view.refresh(source)
-    shutil.rmtree(glob.glob(str(tmp_path / "v" / "part=*"))[0])
-    assert len(view.refresh(source)) == 1
-    assert view.read().count() == 20
+    lists = incremental.WorkLists(spark, str(tmp_path / "v"), spark.createDataFrame(rows, SCANS), runs)
+    lists.refresh()
+    shutil.rmtree(glob.glob(str(tmp_path / "v" / "*" / "run_id=*" / "bucket=*"))[0])
+    assert len(lists.refresh()) == 1
+    assert lists.read().count() == 20
+
+
+def test_a_refresh_that_dies_before_it_commits_is_made_again(spark, tmp_path):
+    rows = [(1, v, 10, 1.0, "COMPLETED", None, "") for v in range(20)]
+    runs = spark.createDataFrame([(1, "succeeded")], "run_id bigint, outcome string")
+    lists = incremental.WorkLists(spark, str(tmp_path / "v"), spark.createDataFrame(rows, SCANS), runs)
+    lists.refresh()
+    more = incremental.WorkLists(spark, str(tmp_path / "v"), spark.createDataFrame(rows + [(2, v, 11, 1.0, "COMPLETED", None, "") for v in range(20)], SCANS), runs)
+    broken = F.udf(lambda v: 1 // 0, "bigint")
+    with pytest.raises(Exception, match="division"):  # the tasks die while they write
+        more.view.refresh(more.marks(), lambda wanted: more.compute(wanted).withColumn("video_id", broken("video_id")))
+    assert lists.read().count() == 20
+    assert {r[0] for r in more.refresh()} == {2} and more.read().count() == 40 and more.refresh() == []
+
+
+def test_refreshes_of_one_view_wait_for_each_other(spark, tmp_path, monkeypatch):
+    import threading
+
+    monkeypatch.setattr(incremental, "STALE_S", 2.0)
+    view = incremental.PartitionedView(spark, str(tmp_path / "v"), incremental.WORK_SCHEMA, ["run_id"])
+    order = []
+
+    def second():
+        with view.locked():
+            order.append("second")
+
+    with view.locked():
+        t = threading.Thread(target=second)
+        t.start()
+        t.join(1.5)
+        order.append("first")
+    t.join()
+    assert order == ["first", "second"]
+    fs, p = view._at(view.path + ".lock")
+    fs.createNewFile(p)  # its holder died
+    fs.setTimes(p, 1000, -1)
+    with view.locked():
+        order.append("third")
+    assert not fs.exists(p) and order[-1] == "third"
 
 
 def test_work_of_nothing(spark, tmp_path):
@@ -173,11 +229,63 @@ def test_charts_don_t_learn_spikes():
     x = np.full((400, 1), 1.0) + np.random.default_rng(5).normal(0, 0.01, (400, 1))
     x[100:110] += 1.0
     hit = control_chart.charts(x, np.array([1.0]), np.array([0.01]))
-    assert hit[100:110].all() and hit.sum() < 16
+    assert hit[100:110].all() and hit.sum() < 80  # and what follows while the chart comes back
+
+
+def test_charts_tell_calm_series_from_others():
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (3000, 20))
+    level, spread = np.zeros(20), np.ones(20)
+    assert control_chart.charts(x, level, spread).mean() < 0.02
+    drifting = x + np.linspace(0, 30, 3000)[:, None]
+    assert control_chart.charts(drifting, level, spread)[-500:].mean() > 0.95  # the chart's own mean has left the level
+    wide = x * np.where(np.arange(3000) < 1500, 1, 6)[:, None]
+    assert control_chart.charts(wide, level, spread)[2000:].mean() > 0.95
+    # one that starts far from its level takes its time to come in
+    assert control_chart.charts(x[:500], level + 20, spread)[:20].all()
+
+
+def test_without_charts_no_spike_is_found(spark):
+    rng = np.random.default_rng(7)
+    rows = [(1, i, float(rng.normal(-1, 0.05)) if i % 100 else -3.0, None, None, "", "") for i in range(1500)]
+    df = spark.createDataFrame(rows, SCORES)
+    count = lambda *limits: control_chart.unbelievable(df, limits=limits or control_chart.LIMITS).where("reason = 'spike'").count()
+    off = float("inf")
+    assert count() == 15
+    assert count(4.0, off, off) == 15
+    assert 0 <= count(off, 2.0, 1.5) < 15  # these only tell of spikes once the chart has moved
+    assert count(off, off, off) == 0
+
+
+def test_medians_are_exact(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(40):
+        n = rng.choice([1, 2, 3, 10, 301, 1000])
+        pool = rng.choice([lambda: rng.gauss(0, 1), lambda: rng.choice([-1.5, 0.0, 0.25]), lambda: 2.0 ** rng.randint(-60, 60), lambda: 0.3 + rng.random() * 1e-9, lambda: -rng.random()])
+        rows += [(k, float(pool()), rng.choice([1, 1, 3])) for _ in range(n)]
+    got = {r.k: r.median for r in control_chart.weighted_median(spark.createDataFrame(rows, "k int, x double, n bigint"), ["k"], "x").collect()}
+    want = {k: float(np.median([x for j, x, n in rows if j == k for _ in range(n)])) for k in range(40)}
+    assert got == want
+
+
+def test_a_hot_source_loses_no_reading(spark):
+    rng = np.random.default_rng(9)
+    part = np.repeat(rng.normal(-0.5, 0.2, 20), 300)  # a source put together of unlike ones
+    x = part + rng.normal(0, 0.02, len(part))
+    x[rng.integers(0, len(x), 200)] -= 4
+    rows = [(1, i, float(v), None, None, "", "") for i, v in enumerate(x)] + [(2 + i // 50, i % 50, float(v), None, None, "", "") for i, v in enumerate(rng.normal(-0.5, 0.1, 1000))]
+    got = {(r.video_id, r.seg_id) for r in control_chart.unbelievable(spark.createDataFrame(rows + rows[::7], SCORES)).where("reason = 'spike'").collect()}
+    want = set()
+    for v in {r[0] for r in rows}:
+        mine = np.array([r[2] for r in rows if r[0] == v])
+        away = np.abs(mine - np.median(mine))
+        want |= {(v, int(i)) for i in np.flatnonzero((away > 8 * control_chart.SIGMA_OF_MAD * np.median(away)) & (mine <= 0))}
+    assert got == want and len(want) > 150
 
 
 def test_row_hashes_add(spark):
     df = spark.range(10).withColumn("x", F.lit(None).cast("string"))
-    a = incremental.fingerprints(df, F.lit(0)).collect()
-    b = incremental.fingerprints(df.repartition(3), F.lit(0)).collect()
+    a = incremental.fingerprints(df.withColumn("part", F.lit(0)), "part").collect()
+    b = incremental.fingerprints(df.repartition(3).withColumn("part", F.lit(0)), "part").collect()
     assert a == b and a[0].fp_rows == 10
