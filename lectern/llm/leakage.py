@@ -1,11 +1,12 @@
 """Test passages inside training documents, by suffix arrays over shards of the training text (9).
 
 Items and documents become streams of tokens: words, and single characters in scripts without spaces. The items' side is
-taken in blocks of a bounded number of tokens and sent to all tasks. Each task joins its documents into shards and sorts
-the shard's suffixes; only suffixes that open with a run of tokens that some item has too can hold a match, so the others
-are left out of the array. The range of training suffixes that agree with a test suffix is found by binary search, and
-the agreeing places are the verbatim matches with their locations. As every passage looked for holds a verbatim run of a
-known least length, whatever is exchanged, no passage is lost.
+taken in blocks of a bounded number of tokens and sent to all tasks. Each task joins its documents into shards and builds
+the suffix array of each: all places that open with a token of any item, in the order of what follows them. The test
+suffixes, sorted once, are searched in it: the two bounds of a test suffix's least run enclose all places that agree with
+it, and the neighbours of its own place in the array give the longest verbatim match. What agrees is taken as far as it
+goes, so that each maximal match comes out once, with its length and its places in item and document. As every passage
+looked for holds a verbatim run of a known least length, whatever is exchanged, no passage is lost.
 
 Around each match item and document are laid side by side; runs of equal tokens are chained over exchanged words, and the
 chain must span half of the item.
@@ -14,10 +15,10 @@ chain must span half of the item.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 from itertools import repeat
 
 import numpy as np
@@ -88,14 +89,15 @@ def least_covered(weights: np.ndarray, seed: int) -> int:
 
 @dataclass
 class Items:
-    """Items in numbers: token numbers from 1 on, items one behind the other with 0 between, and the runs of ``seed`` tokens."""
+    """Items in numbers: token numbers from 1 on, items one behind the other with 0 between, each with its ``seed``, the
+    run of tokens that every passage of an item counted alike (in words or in characters) has at least."""
 
     ids: list[int]
     vocabulary: dict[str, int]
     stream: np.ndarray
     at: np.ndarray
     weights: list[np.ndarray]
-    seed: int
+    seeds: np.ndarray
     covered: np.ndarray
 
     @classmethod
@@ -107,21 +109,112 @@ class Items:
             stream += [vocabulary.setdefault(t, len(vocabulary) + 1) for t in tokens]
             stream.append(0)
             weights.append(np.array([len(t) for t in tokens], np.float64) if unspaced(tokens) else np.ones(len(tokens)))
-        seed = min([LONGEST_SEED, *map(least_run, weights)])
-        return cls([i for i, _ in rows], vocabulary, np.array(stream, np.int64), np.array([*at, len(stream)]), weights, seed, np.array([least_covered(w, seed) for w in weights]))
+        # items of scripts without spaces are told by shorter runs, so words don't share their seed
+        kinds = [unspaced(tokens) for _, tokens in rows]
+        least = {k: min([LONGEST_SEED, *(least_run(w) for w, of in zip(weights, kinds) if of == k)]) for k in (False, True)}
+        seeds = np.array([least[k] for k in kinds], np.int64)
+        return cls([i for i, _ in rows], vocabulary, np.array(stream, np.int64), np.array([*at, len(stream)]), weights, seeds, np.array([least_covered(w, s) for w, s in zip(weights, seeds.tolist())]))
 
 
-def _grams(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the k tokens from each place on, and whether all of them are known."""
-    n = len(x) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    h, known = np.zeros(n, np.uint64), np.ones(n, bool)
-    for j in range(k):
-        part = x[j : j + n]
-        h = h * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(j)
-        known &= part > 0
-    return h, known
+class Packed:
+    """A stream of token numbers as 64-bit numbers, each holding the next ``per`` tokens of its place in order."""
+
+    def __init__(self, x: np.ndarray, bits: int):
+        self.bits, self.per = bits, 64 // bits
+        n = len(x)
+        padded = np.concatenate([x, np.zeros(self.per, x.dtype)]).astype(np.uint64)
+        key = np.zeros(n, np.uint64)
+        for j in range(self.per):
+            key = (key << np.uint64(bits)) | padded[j : j + n]
+        self.key = key
+
+    def of(self, place: np.ndarray, part: int) -> np.ndarray:
+        """The ``part``-th number from each place on; behind the end there are zeros."""
+        at = place + part * self.per
+        return np.where(at < len(self.key), self.key[np.minimum(at, len(self.key) - 1)], np.uint64(0))
+
+
+class SuffixArray:
+    """The places of ``x`` that open with a known token (not 0), in the order of the tokens from there on.
+
+    Sorted by the first numbers of :class:`Packed`, then by prefix doubling among those still alike, until they differ,
+    reach an unknown token, behind which nothing can agree, or agree over ``most`` tokens.
+    """
+
+    def __init__(self, x: np.ndarray, bits: int, most: int):
+        self.packed = Packed(x, bits)
+        n = len(x)
+        places = np.flatnonzero(x > 0)
+        places = places[np.argsort(self.packed.key[places])]
+        # known tokens from each place on
+        zeros = np.append(np.flatnonzero(x == 0), n)
+        known = zeros[np.searchsorted(zeros, np.arange(n))] - np.arange(n)
+        rank = np.zeros(n + 1, np.int64)  # place of a group of alike suffixes in the array, from 1 on
+        key = self.packed.key[places]
+        first = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+        depth = self.packed.per
+        rank[places] = np.maximum.accumulate(np.where(first, np.arange(len(places)), 0)) + 1
+        tied = np.flatnonzero(~(first & np.append(first[1:], True)))
+        while depth < most and len(tied):
+            # of a group either all reach an unknown token before that or none
+            tied = tied[known[places[tied]] >= depth]
+            t = places[tied]
+            pair = rank[t] * (n + 1) + rank[np.minimum(t + depth, n)]
+            order = np.argsort(pair)
+            places[tied] = t = t[order]
+            pair = pair[order]
+            first = np.append(True, pair[1:] != pair[:-1]) if len(pair) else np.zeros(0, bool)
+            rank[t] = np.maximum.accumulate(np.where(first, tied, 0)) + 1
+            tied = tied[~(first & np.append(first[1:], True))]
+            depth *= 2
+        self.places = places
+        self.key = self.packed.key[places]
+
+    def bound(self, test: Packed, q: np.ndarray, depth: np.ndarray, right: bool) -> np.ndarray:
+        """Where in the array the suffixes begin (or, ``right``, end) that agree with ``depth`` tokens of ``test`` from ``q`` on."""
+        bits, per = self.packed.bits, self.packed.per
+
+        def unlike(part: int) -> np.ndarray:
+            """Bits of the ``part``-th number that are beyond the depth."""
+            return (per - np.clip(depth - part * per, 0, per)) * bits
+
+        def held(number: np.ndarray, off: np.ndarray) -> np.ndarray:
+            return np.where(off < per * bits, number >> np.minimum(off, 63).astype(np.uint64), np.uint64(0))
+
+        # the first number narrows the range for all tests at once
+        off = np.minimum(unlike(0), 63).astype(np.uint64)
+        head = test.of(q, 0) >> off << off
+        lo, hi = np.searchsorted(self.key, head, "left"), np.searchsorted(self.key, head | ((np.uint64(1) << off) - np.uint64(1)), "right")
+        parts = -(-int(depth.max(initial=0)) // per)
+        while parts > 1 and (open_ := np.flatnonzero(lo < hi)).size:
+            mid = (lo[open_] + hi[open_]) // 2
+            sign = np.zeros(len(open_), np.int8)
+            p, t = self.places[mid], q[open_]
+            for part in range(1, parts):
+                same = np.flatnonzero(sign == 0)
+                if not len(same):
+                    break
+                off = unlike(part)[open_[same]]
+                a, b = held(self.packed.of(p[same], part), off), held(test.of(t[same], part), off)
+                sign[same] = (a > b).astype(np.int8) - (a < b)
+            below = (sign < 0) | ((sign == 0) & right)
+            lo[open_] = np.where(below, mid + 1, lo[open_])
+            hi[open_] = np.where(below, hi[open_], mid)
+        return hi if right and parts <= 1 else lo
+
+
+def _agree(a: np.ndarray, p: np.ndarray, b: np.ndarray, q: np.ndarray, start: int = 0) -> np.ndarray:
+    """Known tokens for which the streams agree from places ``p`` of ``a`` and ``q`` of ``b`` on."""
+    out = np.full(len(p), start, np.int64)
+    on = np.arange(len(p))
+    while len(on):
+        i, j = p[on] + out[on], q[on] + out[on]
+        ok = (i < len(a)) & (j < len(b))
+        ok &= a[np.minimum(i, len(a) - 1)] == b[np.minimum(j, len(b) - 1)]
+        ok &= b[np.minimum(j, len(b) - 1)] > 0
+        on = on[ok]
+        out[on] += 1
+    return out
 
 
 class Matcher:
@@ -129,38 +222,52 @@ class Matcher:
 
     def __init__(self, items: Items):
         self.items = items
-        h, known = _grams(items.stream, items.seed)
-        self.places = np.flatnonzero(known)
-        self.hashes = np.unique(h[self.places])
-        self.table = np.zeros(1 << 22, bool)
-        self.table[self.hashes & np.uint64((1 << 22) - 1)] = True
-        self.owner = np.searchsorted(items.at, np.arange(len(items.stream)), "right") - 1
-        depth = int(max(np.diff(items.at), default=1))
-        self.depth = depth
-        raw = items.stream.astype(">u4").tobytes()
-        self.suffixes = {int(p): raw[4 * p : 4 * (p + items.seed)] for p in self.places}
-
-    def matches(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the items' stream, place in ``x``) of all runs of ``seed`` tokens that agree."""
-        k = self.items.seed
-        h, known = _grams(x, k)
-        maybe = np.flatnonzero(known & self.table[h & np.uint64((1 << 22) - 1)])
-        maybe = maybe[np.isin(h[maybe], self.hashes)]
-        places, found = [], []
-        if len(maybe):
-            # the suffix array of the shard, of suffixes that open as some item does; behind the longest item nothing matters
-            raw = x.astype(">u4").tobytes()
-            width = 4 * self.depth
-            array = sorted((raw[4 * p : 4 * p + width], p) for p in maybe.tolist())
-            keys = [s for s, _ in array]
-            at = [p for _, p in array]
-            for place, head in self.suffixes.items():
-                lo = bisect_left(keys, head)
-                if lo < len(keys) and keys[lo].startswith(head):
-                    hi = bisect_left(keys, head + b"\xff" * 4, lo)
-                    places += [place] * (hi - lo)
-                    found += at[lo:hi]
-        return np.array(places, np.int64), np.array(found, np.int64)
+        stream = items.stream
+        self.bits = max(1, int(stream.max(initial=0)).bit_length())
+        self.test = Packed(stream, self.bits)
+        self.owner = np.searchsorted(items.at, np.arange(len(stream)), "right") - 1
+        self.depth = int(max(np.diff(items.at), default=1))
+        zeros = np.flatnonzero(np.append(stream, 0) == 0)
+        self.left = zeros[np.searchsorted(zeros, np.arange(len(stream)))] - np.arange(len(stream))
+        # test suffixes in their own order, so that neighbouring searches touch neighbouring places
+        order = np.argsort(self.test.key)
+        self.suffixes = order[self.left[order] > 0]
+        self.seed = np.append(items.seeds, 1)[np.minimum(self.owner, len(items.seeds))]
+
+    def array(self, x: np.ndarray) -> SuffixArray:
+        return SuffixArray(x, self.bits, self.depth)
+
+    def matches(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the items' stream, place in ``x``, tokens) of all maximal verbatim matches of an item's seed or more."""
+        array = self.array(x)
+        q = self.suffixes[self.left[self.suffixes] >= self.seed[self.suffixes]]
+        depth = self.seed[q]
+        lo, hi = array.bound(self.test, q, depth, False), array.bound(self.test, q, depth, True)
+        some = hi > lo
+        q, lo, n = q[some], lo[some], (hi - lo)[some]
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        place, found = np.repeat(q, n), array.places[at]
+        # those that could begin one token earlier are inside a longer match
+        before = np.where(found > 0, x[np.maximum(found - 1, 0)], 0)
+        longest = (self.items.stream[place - 1] == 0) | (before != self.items.stream[place - 1])
+        place, found = place[longest], found[longest]
+        return place, found, _agree(x, found, self.items.stream, place)
+
+    def longest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each test suffix its place, the place in ``x`` of its longest verbatim match, and its tokens: the better one
+        of its two neighbours in the array."""
+        array = self.array(x)
+        q = self.suffixes
+        if not len(array.places):
+            return q, np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+        i = array.bound(self.test, q, self.left[q], False)
+        best, length = np.zeros(len(q), np.int64), np.full(len(q), -1)
+        for at in (i, i - 1):
+            p = array.places[np.clip(at, 0, len(array.places) - 1)]
+            n = _agree(x, p, self.items.stream, q)
+            better = n > length
+            best, length = np.where(better, p, best), np.where(better, n, length)
+        return q, best, length
 
 
 def _straight(item: np.ndarray, weight: np.ndarray, doc: np.ndarray, d: int) -> tuple[float, int, int]:
@@ -292,32 +399,39 @@ def _enough(items: Items, x: np.ndarray, starts: np.ndarray, ends: np.ndarray, i
     return out
 
 
-def _shard(m: Matcher, ids: list[int], docs: list[np.ndarray]) -> pa.RecordBatch | None:
+def _joined(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents one behind the other with 0 before each, and where each begins and ends."""
     x = np.concatenate([np.concatenate([[0], d]) for d in docs])
     starts = np.cumsum([0, *(len(d) + 1 for d in docs)])[:-1] + 1
-    ends_of = starts + np.array([len(d) for d in docs])
-    place, p = m.matches(x)
+    return x, starts, starts + np.array([len(d) for d in docs])
+
+
+def _shard(m: Matcher, ids: list[int], docs: list[np.ndarray]) -> pa.RecordBatch | None:
+    x, starts, ends_of = _joined(docs)
+    place, p, length = m.matches(x)
     rows = []
     if len(place):
         doc, item = np.searchsorted(starts, p, "right") - 1, m.owner[place]
         diagonal = (p - starts[doc]) - (place - m.items.at[item])
         order = np.lexsort((diagonal, item, doc))
-        place, doc, item, diagonal = place[order], doc[order], item[order], diagonal[order]
+        place, length, doc, item, diagonal = place[order], length[order], doc[order], item[order], diagonal[order]
         # a passage lies on neighbouring diagonals
         new = np.append(True, (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(diagonal) > 2 * SHIFT))
         group = np.cumsum(new) - 1
         order = np.lexsort((place, group))
-        place, doc, item, diagonal, group = place[order], doc[order], item[order], diagonal[order], group[order]
-        # tokens of the item in runs that agree: too few of them, and no passage is long enough
-        step = np.minimum(np.diff(place, append=0), m.items.seed)
+        place, length, doc, item, diagonal, group = place[order], length[order], doc[order], item[order], diagonal[order], group[order]
+        # tokens of the item in matches: too few of them, and no passage is long enough
+        wide = len(m.items.stream) + 1
+        end = np.maximum.accumulate(group * wide + place + length)
+        begin = np.maximum(group * wide + place, np.append(0, end[:-1]))
         cuts = np.append(np.flatnonzero(np.diff(group)), len(group) - 1)
-        step[cuts] = m.items.seed
         heads = np.append(0, cuts[:-1] + 1)
-        enough = np.add.reduceat(step, heads) >= m.items.covered[item[heads]]
+        enough = np.add.reduceat(np.maximum(end - begin, 0), heads) >= m.items.covered[item[heads]]
         low, high = np.minimum.reduceat(diagonal, heads)[enough], np.maximum.reduceat(diagonal, heads)[enough]
+        verbatim = np.maximum.reduceat(length, heads)[enough]
         heads, ends = heads[enough], (cuts + 1)[enough]
         some = _enough(m.items, x, starts, ends_of, item[heads], doc[heads], low, high)
-        for lo, hi in zip(heads[some].tolist(), ends[some].tolist()):
+        for lo, hi, run in zip(heads[some].tolist(), ends[some].tolist(), verbatim[some].tolist()):
             k, n = int(item[lo]), int(doc[lo])
             tokens, weight = m.items.stream[m.items.at[k] : m.items.at[k + 1] - 1], m.items.weights[k]
             diagonals = set(diagonal[lo:hi].tolist())
@@ -325,68 +439,105 @@ def _shard(m: Matcher, ids: list[int], docs: list[np.ndarray]) -> pa.RecordBatch
             if part < PART - 1e-9 and _possible(tokens, weight, docs[n], diagonals):
                 part, a, b = _chain(tokens, weight, docs[n], diagonals)
             if part >= PART - 1e-9:
-                rows.append((m.items.ids[k], ids[n], part, a, b))
+                rows.append((m.items.ids[k], ids[n], part, a, b, run))
     if not rows:
         return None
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["item_id", "doc_id", "part", "from_token", "to_token"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))], names=["item_id", "doc_id", "part", "from_token", "to_token", "verbatim"])
+
+
+def _longest(m: Matcher, ids: list[int], docs: list[np.ndarray]) -> pa.RecordBatch | None:
+    """For each item the longest match of any of its suffixes in the shard."""
+    x, starts, _ = _joined(docs)
+    place, p, length = m.longest(x)
+    item = m.owner[place]
+    doc = np.searchsorted(starts, p, "right") - 1
+    order = np.lexsort((place, -length, item))
+    order = order[np.append(True, np.diff(item[order]) != 0)] if len(order) else order
+    order = order[length[order] > 0]
+    if not len(order):
+        return None
+    item, place, doc, p = item[order], place[order], doc[order], p[order]
+    cols = [np.array(m.items.ids)[item], np.array(ids)[doc], place - m.items.at[item], p - starts[doc], length[order]]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["item_id", "doc_id", "item_token", "doc_token", "n_tokens"])
+
+
+#: The matcher of the block of items that this process searched last: the tasks of a worker share it.
+_MATCHER: dict[str, Matcher] = {}
+
 
+def _matcher(name: str, items: Items) -> Matcher:
+    if name not in _MATCHER:
+        _MATCHER.clear()
+        _MATCHER[name] = Matcher(items)
+    return _MATCHER[name]
 
-def _search(batches: Iterator[pa.RecordBatch], kinds: list[Items]) -> Iterator[pa.RecordBatch]:
-    matchers = [Matcher(items) for items in kinds]
+
+def _search(batches: Iterator[pa.RecordBatch], m: Matcher, find: Callable[[Matcher, list[int], list[np.ndarray]], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
+    ids: list[int] = []
+    docs: list[np.ndarray] = []
+    size = 0
     for b in batches:
-        ids: list[int] = []
-        docs: list[list[np.ndarray]] = [[] for _ in kinds]
-        size = 0
-        rows = list(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()))
-        for i, (doc_id, text) in enumerate(rows):
+        for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
             tokens = tokens_of(text)
             ids.append(doc_id)
-            for items, own in zip(kinds, docs):
-                own.append(np.fromiter(map(items.vocabulary.get, tokens, repeat(0)), np.int64, len(tokens)))
+            docs.append(np.fromiter(map(m.items.vocabulary.get, tokens, repeat(0)), np.int64, len(tokens)))
             size += len(tokens)
-            if size >= SHARD_TOKENS or i == len(rows) - 1:
-                for m, own in zip(matchers, docs):
-                    if (found := _shard(m, ids, own)) is not None:
-                        yield found
-                ids, docs, size = [], [[] for _ in kinds], 0
+            if size >= SHARD_TOKENS:
+                if (found := find(m, ids, docs)) is not None:
+                    yield found
+                ids, docs, size = [], [], 0
+    if ids and (found := find(m, ids, docs)) is not None:
+        yield found
 
 
-def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """``item_id, doc_id, part, from_token, to_token``: documents one passage of which gives PART or more of an item.
+def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array([tokens_of(t) for t in b.column("text").to_pylist()], pa.list_(pa.string()))], names=["item_id", "tokens"])
 
-    The passage follows the item's order; case, punctuation, spacing, line breaks and character forms don't matter, and up
-    to EXCHANGED of it may be other words. Null and blank texts match nothing; repeated rows count once; texts are taken
-    whole, of any length. Items are taken in blocks of BLOCK_TOKENS, the documents being read once for each.
-    """
+
+def _over_blocks(documents: DataFrame, items: DataFrame, find: Callable, schema: str) -> DataFrame:
     spark = documents.sparkSession
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    rows = items.where("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy("item_id", "text")
-    out, block, size = [], [], 0
-
-    def search(rows: list[tuple[int, list[str]]]) -> DataFrame:
-        # items of scripts without spaces are told by shorter runs, so they have an array of their own
-        kinds = [[r for r in rows if unspaced(r[1]) == k] for k in (False, True)]
-        shared = spark.sparkContext.broadcast([Items.of(k) for k in kinds if k])
-        return docs.mapInArrow(lambda batches: _search(batches, shared.value), "item_id bigint, doc_id bigint, part double, from_token bigint, to_token bigint")
-
-    for r in rows.toLocalIterator():
-        tokens = tokens_of(r.text)
-        if not tokens:
-            continue
-        block.append((r.item_id, tokens))
-        size += len(tokens)
+    rows = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct().mapInArrow(_tokenised, "item_id bigint, tokens array<string>")
+    out: list[DataFrame] = []
+
+    def search(block: list[tuple[int, list[str]]]) -> None:
+        shared, name = spark.sparkContext.broadcast(Items.of(block)), uuid.uuid4().hex
+        out.append(docs.mapInArrow(lambda batches: _search(batches, _matcher(name, shared.value), find), schema))
+
+    block: list[tuple[int, list[str]]] = []
+    size = 0
+    for r in rows.where(F.size("tokens") > 0).orderBy("item_id", "tokens").toLocalIterator():
+        block.append((r.item_id, r.tokens))
+        size += len(r.tokens)
         if size >= BLOCK_TOKENS:
-            out.append(search(block))
+            search(block)
             block, size = [], 0
     if block:
-        out.append(search(block))
-    if not out:
-        return spark.createDataFrame([], "item_id bigint, doc_id bigint, part double, from_token bigint, to_token bigint")
-    x = out[0]
-    for y in out[1:]:
-        x = x.unionByName(y)
-    x = x.groupBy("item_id", "doc_id").agg(F.max(F.struct("part", "from_token", "to_token")).alias("x"))
-    return x.select("item_id", "doc_id", "x.part", "x.from_token", "x.to_token")
+        search(block)
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], schema)
+
+
+def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """``item_id, doc_id, part, from_token, to_token, verbatim``: documents one passage of which gives PART or more of an
+    item, and the tokens of the longest verbatim match in it.
+
+    The passage follows the item's order; case, punctuation, spacing, line breaks and character forms don't matter, and up
+    to EXCHANGED of it may be other words. Null and blank texts match nothing; repeated rows count once; texts are taken
+    whole, of any length. Items are taken in blocks of BLOCK_TOKENS, the documents being read once for each.
+    """
+    x = _over_blocks(documents, items, _shard, "item_id bigint, doc_id bigint, part double, from_token bigint, to_token bigint, verbatim bigint")
+    cols = ["part", "from_token", "to_token", "verbatim"]
+    x = x.groupBy("item_id", "doc_id").agg(F.max(F.struct(*cols)).alias("x"))
+    return x.select("item_id", "doc_id", *[f"x.{c}" for c in cols])
+
+
+def longest_matches(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """``item_id, n_tokens, doc_id, item_token, doc_token``: the longest verbatim match of each item in any document, with
+    its first place (by document, then item). Items no token of which is in any document have none."""
+    x = _over_blocks(documents, items, _longest, "item_id bigint, doc_id bigint, item_token bigint, doc_token bigint, n_tokens bigint")
+    x = x.groupBy("item_id").agg(F.min(F.struct((-F.col("n_tokens")).alias("n"), "doc_id", "item_token", "doc_token")).alias("x"))
+    return x.select("item_id", (-F.col("x.n")).alias("n_tokens"), "x.doc_id", "x.item_token", "x.doc_token")
 
 
 def without_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -75,6 +75,11 @@ def p9_by_item(spark: SparkSession, sf: str) -> DataFrame:
     return x.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.round(F.max("part"), 6).alias("largest_part"))
 
 
+def p9_longest(spark: SparkSession, sf: str) -> DataFrame:
+    """The longest verbatim match of each item in the whole corpus, and where it is."""
+    return leakage.longest_matches(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
 def p9_kept(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold no passage of an item."""
     return leakage.without_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id")
@@ -89,5 +94,5 @@ def p10_levels(spark: SparkSession, sf: str) -> DataFrame:
     return levels.reading_levels(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_video, p2_found, p2_events, p3_found, p3_sentences, p5_found, p5_groups, p8_pack, p8_fill, p9_found, p9_by_item, p9_kept, p10_found, p10_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_video, p2_found, p2_events, p3_found, p3_sentences, p5_found, p5_groups, p8_pack, p8_fill, p9_found, p9_by_item, p9_longest, p9_kept, p10_found, p10_levels)}
 ORACLE: dict[str, str] = {}

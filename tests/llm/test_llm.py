@@ -311,6 +311,83 @@ def test_exchanged_words_of_other_lengths():
     assert part == 1.0 and (lo, hi) == (2, len(b) - 1)
 
 
+def streams(rng):
+    items = [(i, [f"w{rng.randint(0, 5)}" for _ in range(rng.randint(1, 30))]) for i in range(rng.randint(1, 6))]
+    docs = []
+    for _ in range(rng.randint(1, 8)):
+        words = [rng.choice([f"w{rng.randint(0, 7)}", "strange"]) for _ in range(rng.randint(0, 40))]
+        if rng.random() < 0.6:
+            words += rng.choice(items)[1][: rng.randint(1, 30)] + ["strange"]
+        docs.append(words)
+    return items, docs + docs[: rng.randint(0, 2)]
+
+
+def brute_matches(items, docs):
+    """All maximal verbatim matches: (item, place in it, document, place in it, tokens)."""
+    out = set()
+    for i, a in items:
+        for d, b in enumerate(docs):
+            for q in range(len(a)):
+                for p in range(len(b)):
+                    if a[q] != b[p] or q and p and a[q - 1] == b[p - 1]:
+                        continue
+                    n = 0
+                    while q + n < len(a) and p + n < len(b) and a[q + n] == b[p + n]:
+                        n += 1
+                    out.add((i, q, d, p, n))
+    return out
+
+
+def test_suffix_arrays_are_sorted_and_their_matches_those_of_brute_force():
+    rng = random.Random(11)
+    for _ in range(150):
+        items, docs = streams(rng)
+        made = leakage.Items.of(items)
+        m = leakage.Matcher(made)
+        numbers = [np.array([made.vocabulary.get(w, 0) for w in d], np.int64) for d in docs]
+        x, starts, ends = leakage._joined(numbers)
+        array = m.array(x)
+
+        def suffix(p, x=x, m=m):
+            own = x[p : p + m.depth]
+            zero = np.flatnonzero(own == 0)
+            return own[: zero[0]].tolist() if len(zero) else own.tolist()
+
+        own = [suffix(p) for p in array.places.tolist()]
+        assert sorted(array.places.tolist()) == np.flatnonzero(x).tolist() and own == sorted(own)
+        every = brute_matches(items, docs)
+        place, p, n = m.matches(x)
+        doc = np.searchsorted(starts, p, "right") - 1
+        item = m.owner[place]
+        got = list(zip(item.tolist(), (place - made.at[item]).tolist(), doc.tolist(), (p - starts[doc]).tolist(), n.tolist()))
+        assert len(got) == len(set(got)) and set(got) == {e for e in every if e[4] >= made.seeds[e[0]]}
+        place, p, n = m.longest(x)
+        for q, length in zip(place.tolist(), n.tolist()):
+            i = int(m.owner[q])
+            at = q - int(made.at[i])
+            tail = items[i][1][at:]
+            # the longest start of this suffix that any document has
+            texts = ["|" + "|".join(d) + "|" for d in docs]
+            want = max((k for k in range(1, len(tail) + 1) if any("|" + "|".join(tail[:k]) + "|" in t for t in texts)), default=0)
+            assert length == want
+
+
+def test_longest_matches(spark):
+    rng = random.Random(12)
+    items, docs = streams(rng)
+    d = spark.createDataFrame([(k, " ".join(w), "clash") for k, w in enumerate(docs)] + [(99, None, "")], "doc_id bigint, text string, n_tokens string")
+    e = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(50, "nowhere at all"), (51, None)], "item_id bigint, text string")
+    got = {r.item_id: r.n_tokens for r in leakage.longest_matches(d, e).collect()}
+    want = {}
+    for i, _, _, _, n in brute_matches(items, docs):
+        want[i] = max(want.get(i, 0), n)
+    assert got == want
+    for r in leakage.longest_matches(d, e).collect():
+        words = dict(items)[r.item_id][r.item_token : r.item_token + r.n_tokens]
+        assert docs[r.doc_id][r.doc_token : r.doc_token + r.n_tokens] == words
+    assert leakage.longest_matches(d.limit(0), e).count() == 0 and leakage.longest_matches(d, e.limit(0)).count() == 0
+
+
 # --- 10: levels ----------------------------------------------------------------------------------------------------
 
 
