@@ -2,9 +2,9 @@
 
 Documents and words are the two sides of a graph; an edge weighs as much as the word takes of the document. Graded
 documents are clamped to the mean of their grades. A word's difficulty is the weighted mean of its documents', a
-document's that of its words, each word counting as far as it tells levels apart, and these means are taken in turn. As
-means shrink toward the middle, each round brings documents back to the grades' scale by a line for each script and language fitted
-on the graded ones.
+document's that of its words, each word counting as far as it tells levels apart. These means are taken in turn until no
+word's difficulty moves by TOLERANCE of a grade any more. As means shrink toward the middle, each round brings documents
+back to the grades' scale by a line for each script and language fitted on the graded ones.
 
 Words are hashed into a fixed number of nodes, so a round sends and gathers at most that many numbers, whatever the number
 of documents; the edges stay where they are, in a table in the shared folder.
@@ -29,7 +29,9 @@ from lectern.session import materialise
 
 #: Word nodes, a power of two.
 NODES = 1 << 17
-ROUNDS = 2
+#: Rounds end when no word moves farther than this, in grades; if MOST_ROUNDS don't get there, that is an error.
+TOLERANCE = 0.02
+MOST_ROUNDS = 60
 #: Grades counted in for a word beside its own, at the mean of all.
 WORD_PRIOR = 3.0
 #: Bins of a document's mean, over the scale of grades, in which graded documents are counted.
@@ -138,6 +140,8 @@ class Words:
     weight: np.ndarray
     lines: np.ndarray
     cuts: np.ndarray
+    #: The farthest that any word moved in each round.
+    residuals: tuple[float, ...] = ()
 
     def means(self, e: Edges) -> np.ndarray:
         w = e.weight * self.weight[e.node]
@@ -244,22 +248,40 @@ def calibrate(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lines, cuts
 
 
-def propagate(edges: DataFrame, rounds: int = ROUNDS) -> Words:
-    """Word difficulties after ``rounds`` harmonic rounds, from graded documents outward."""
-    words: Words | None = None
-    for _ in range(rounds):
-        num, den, n = _gather(edges, words)
-        if words is None:
-            mean = num.sum() / den.sum() if den.sum() else (LOW + HIGH) / 2
-            seen = np.where(den > 0, num / np.maximum(den, 1e-12), mean)
-            weight = np.abs((seen * n + mean * WORD_PRIOR) / (n + WORD_PRIOR) - mean) + 1e-3
-        level = np.where(den > 0, num / np.maximum(den, 1e-12), mean)
-        words = Words(level.astype(np.float32), weight.astype(np.float32), np.zeros((KINDS, 2)), np.zeros(KINDS))
+def propagate(edges: DataFrame, tolerance: float = TOLERANCE, most: int = MOST_ROUNDS) -> Words:
+    """Word difficulties that no further harmonic round would move, from graded documents outward.
+
+    A word weighs as far as its graded documents tell it from the middle; one that no graded document has, as far as the
+    documents that the first round reached do.
+    """
+    num, den, n = _gather(edges, None)
+    mean = num.sum() / den.sum() if den.sum() else (LOW + HIGH) / 2
+    apart = lambda level, n: np.abs((level * n + mean * WORD_PRIOR) / (n + WORD_PRIOR) - mean) + 1e-3
+    level, graded = np.where(den > 0, num / np.maximum(den, 1e-12), mean), n > 0
+    weight = apart(level, n)
+    residuals: list[float] = []
+    while True:
+        words = Words(level.astype(np.float32), weight.astype(np.float32), np.zeros((KINDS, 2)), np.zeros(KINDS), tuple(residuals))
         words.lines, words.cuts = calibrate(_graded(edges, words))
-    return words
+        if not graded.any() or residuals and residuals[-1] <= tolerance:
+            return words
+        if len(residuals) >= most:
+            raise ValueError(f"words still move by {residuals[-1]:.3f} of a grade after {most} rounds")
+        num, den, n = _gather(edges, words)
+        new = np.where(den > 0, num / np.maximum(den, 1e-12), mean)
+        if not residuals:
+            weight = np.where(graded, weight, apart(new, n))
+        residuals.append(float(np.abs(new - level).max()))
+        level = new
+
+
+def rounds(documents: DataFrame, grades: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """``round, residual``: how far the farthest word moved in each round of :func:`propagate`."""
+    words = propagate(materialise(graph(documents, grades), "edges"), tolerance)
+    return documents.sparkSession.createDataFrame([(k + 1, x) for k, x in enumerate(words.residuals)], "round int, residual double")
 
 
-def reading_levels(documents: DataFrame, grades: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def reading_levels(documents: DataFrame, grades: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """``doc_id, score, level, demanding``: the level on the grades' scale, its number, and whether it is DEMANDING or more.
 
     A document's own grade moves its words and nothing else, so one rater's error doesn't decide. Documents without words
@@ -268,7 +290,7 @@ def reading_levels(documents: DataFrame, grades: DataFrame, rounds: int = ROUNDS
     taken whole.
     """
     edges = materialise(graph(documents, grades), "edges")
-    words = propagate(edges, rounds)
+    words = propagate(edges, tolerance)
     shared = documents.sparkSession.sparkContext.broadcast(words)
     any_grade = bool(words.weight.max() > 2e-3)
 

@@ -94,5 +94,10 @@ def p10_levels(spark: SparkSession, sf: str) -> DataFrame:
     return levels.reading_levels(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_video, p2_found, p2_events, p3_found, p3_sentences, p5_found, p5_groups, p8_pack, p8_fill, p9_found, p9_by_item, p9_longest, p9_kept, p10_found, p10_levels)}
+def p10_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """How the harmonic rounds come to rest."""
+    return levels.rounds(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_video, p2_found, p2_events, p3_found, p3_sentences, p5_found, p5_groups, p8_pack, p8_fill, p9_found, p9_by_item, p9_longest, p9_kept, p10_found, p10_levels, p10_rounds)}
 ORACLE: dict[str, str] = {}

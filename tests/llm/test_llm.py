@@ -411,6 +411,32 @@ def test_reading_levels(spark):
     wrong = sum(got[i].demanding != (true[i] >= 4) for i in true)
     assert wrong <= 12  # 98 % held right, mostly documents without a grade
     assert all(got[i].demanding == (got[i].level >= 4) for i in true)
+    moved = [r.residual for r in levels.rounds(d, g).orderBy("round").collect()]
+    assert moved[-1] <= levels.TOLERANCE < min(moved[:-1]) and len(moved) > 1
+    with pytest.raises(ValueError, match="still move"):
+        levels.propagate(levels.graph(d, g), most=1)
     none = levels.reading_levels(d, g.limit(0)).collect()
     assert all(r.level is None and not r.demanding for r in none)
     assert levels.reading_levels(d.limit(0), g).count() == 0
+
+
+def test_levels_at_rest_are_harmonic(spark):
+    """Every word is the mean of its documents, and every document that of its words on the grades' scale: at rest, one more
+    round changes nothing, however it is computed."""
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice("abcdefgh"[max(0, i % 5 - 1) : i % 5 + 4]) for _ in range(30))) for i in range(80)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    g = spark.createDataFrame([(i, 1 + i % 5, "r", None) for i in range(0, 80, 3)], "doc_id bigint, level int, rater string, rated_at timestamp")
+    edges = levels.graph(d, g)
+    words = levels.propagate(edges, tolerance=1e-4, most=400)
+    grade = {i: 1 + i % 5 for i in range(0, 80, 3)}
+    num, den = {}, {}
+    for i, text in docs:
+        own = [levels.zlib.crc32(w.encode()) & (levels.NODES - 1) for w in text.split()]
+        weights = [words.weight[k] for k in own]
+        mean = sum(w * words.level[k] for k, w in zip(own, weights)) / sum(weights)
+        line = words.lines[0]
+        level = grade.get(i, min(5.0, max(1.0, line[0] * mean + line[1])))
+        for k in own:
+            num[k], den[k] = num.get(k, 0) + level / len(own), den.get(k, 0) + 1 / len(own)
+    assert all(abs(num[k] / den[k] - words.level[k]) < 2e-3 for k in num)
