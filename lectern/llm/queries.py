@@ -57,6 +57,12 @@ def p3_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return x.groupBy("video_id", "id", "sentence_no", "begin_char", "end_char").agg(F.max("sentence").alias("sentence"))
 
 
+def p3_unmarked(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences of texts read without regard to marks: any likely boundary ends one, except the first of each segment."""
+    x = sentences.sentences(table(spark, sf, "segments_raw"), ["video_id", "id"], unmarked=True).where("sentence_no > 0")
+    return x.select("video_id", F.col("id").alias("seg_id"), "begin_char").distinct()
+
+
 def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
     return packing.assign(table(spark, sf, "documents"), table(spark, sf, "pack_targets"))
 
@@ -99,5 +105,5 @@ def p10_rounds(spark: SparkSession, sf: str) -> DataFrame:
     return levels.rounds(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_video, p2_found, p2_events, p3_found, p3_sentences, p5_found, p5_groups, p8_pack, p8_fill, p9_found, p9_by_item, p9_longest, p9_kept, p10_found, p10_levels, p10_rounds)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_video, p2_found, p2_events, p3_found, p3_sentences, p3_unmarked, p5_found, p5_groups, p8_pack, p8_fill, p9_found, p9_by_item, p9_longest, p9_kept, p10_found, p10_levels, p10_rounds)}
 ORACLE: dict[str, str] = {}

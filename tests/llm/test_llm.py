@@ -181,7 +181,7 @@ def model(spark):
     ],
 )
 def test_boundaries(model, text, begins):
-    assert model.begins(text) == begins
+    assert model.begins([text, None, text]) == [begins, [], begins]
 
 
 def test_sentences_of_awkward_rows(spark, model):
@@ -192,18 +192,64 @@ def test_sentences_of_awkward_rows(spark, model):
 
 
 def test_posteriors_are_those_of_all_paths(model):
-    es = sentences.events("a. 8. b. 9. The server opens.")
-    es = [e for e in es if not e.inside]
-    paths = {}
-    for bits in range(1 << len(es)):
-        state, p, before = [(bits >> i) & 1 for i in range(len(es))], 1.0, 0
-        for e, s in zip(es, state):
-            c = sentences._chance(model.odds(e.left + "^" * (e.joined and before), e.mark, e.right))
-            p *= c if s else 1 - c
-            before = s
-        paths[tuple(state)] = p
-    want = [sum(p for s, p in paths.items() if s[i]) for i in range(len(es))]
-    assert any(e.joined for e in es) and model.posteriors(es) == pytest.approx(want)
+    for line, unmarked in (("a. 8. b. 9. The server opens.", False), ("The server opens a bucket the screen opens", True), ("長い箱を見ます。丸い窓", False)):
+        begins, hashes = sentences._tokens(line)
+        g, got = model.posteriors([(begins, hashes, sentences.events(line))] * 3, unmarked)
+        there, again, on = (w[: len(hashes)] for w in model.weights(g, unmarked))
+        paths = {}
+        for bits in range(1 << len(hashes)):
+            state, p, before = [(bits >> i) & 1 for i in range(len(hashes))], 1.0, 0
+            for i, s in enumerate(state):
+                p *= (again[i] if before else there[i]) if s else (on[i] if before else 1.0)
+                before = s
+            paths[tuple(state)] = p
+        all_ = sum(paths.values())
+        want = [sum(p for s, p in paths.items() if s[i]) / all_ for i in range(len(hashes))]
+        assert got.tolist() == pytest.approx(want * 3) and any(0 < x < 1 for x in want)
+
+
+def test_posteriors_don_t_depend_on_the_lines_beside(model):
+    rng = random.Random(10)
+    weights = [np.exp(np.array([rng.gauss(0, 1) for _ in range(400)])) for _ in range(3)]
+    at = np.array(sorted(rng.sample(range(1, 400), 30)))
+    at = np.append(0, np.append(at, at[-1]))  # one line without events
+    got = sentences.forward_backward(at, *weights, cells=64)
+    for a, b in zip(at.tolist(), [*at[1:].tolist(), 400]):
+        if b > a:
+            assert got[a:b].tolist() == pytest.approx(sentences.forward_backward(np.array([0]), *(w[a:b] for w in weights)).tolist())
+
+
+def test_boundaries_without_marks(spark):
+    """Held-out texts with their marks taken out: the events between words alone must show most boundaries."""
+    rng = random.Random(13)
+    made = {
+        "en": lambda: (f"{rng.choice(['the', 'this', 'our'])} {rng.choice(['server', 'screen', 'worker', 'lesson'])} {rng.choice(['opens', 'counts', 'sends'])} a {rng.choice(['bucket', 'folder', 'ticket'])}{rng.choice(['', ' today', ' again'])}", " ", "."),
+        "th": lambda: (f"{rng.choice(['ตอนนี้', 'วันนี้'])}{rng.choice(['ผู้ใช้', 'เครื่อง'])}{rng.choice(['เปิด', 'ลบ'])}{rng.choice(['แฟ้ม', 'ภาพ'])}", " ", ""),
+        "zh": lambda: (f"{rng.choice('今昨')}天{rng.choice('我你')}们{rng.choice('打看')}开{rng.choice('新旧')}{rng.choice('箱窗')}口", "", "。"),
+        "hi": lambda: (f"{rng.choice(['यह', 'वह'])} {rng.choice(['सर्वर', 'पाठ'])} {rng.choice(['नया', 'पुराना'])} {rng.choice(['फ़ोल्डर', 'बक्सा'])} {rng.choice(['खोलता', 'गिनता'])} है", " ", "।"),
+    }
+    train = []
+    for f in made.values():
+        for _ in range(600):
+            parts = [f() for _ in range(rng.choice([1, 1, 2]))]
+            # a script without end marks shows its boundaries by line breaks alone
+            train.append(((parts[0][1] if parts[0][2] else "\n").join(x + mark for x, _, mark in parts),))
+    model = sentences.train(spark.createDataFrame(train, "text string"))
+    for k, f in made.items():
+        want, got, texts = [], [], []
+        for _ in range(100):
+            parts = [f() for _ in range(3)]
+            gap = parts[0][1]
+            texts.append(gap.join(p[0] for p in parts))
+            begins = np.cumsum([0, *(len(p[0]) + len(gap) for p in parts)])[:-1].tolist()
+            want.append(set(begins[1:]))
+        got = [set(b[1:]) for b in model.begins(texts, unmarked=True)]
+        hit = sum(len(a & b) for a, b in zip(got, want))
+        recall, precision = hit / sum(map(len, want)), hit / max(1, sum(map(len, got)))
+        print(k, "recall", round(recall, 3), "precision", round(precision, 3))
+        assert recall > 0.9 and precision > 0.9, (k, recall, precision)
+        # in text that has marks elsewhere, none of them ends a unit
+        assert all(b == [0] for b in model.begins(texts))
 
 
 # --- 8: packing ----------------------------------------------------------------------------------------------------
@@ -424,12 +470,11 @@ def test_levels_at_rest_are_harmonic(spark):
     """Every word is the mean of its documents, and every document that of its words on the grades' scale: at rest, one more
     round changes nothing, however it is computed."""
     rng = random.Random(9)
-    docs = [(i, " ".join(rng.choice("abcdefgh"[max(0, i % 5 - 1) : i % 5 + 4]) for _ in range(30))) for i in range(80)]
+    docs = [(i, " ".join(rng.choice("abcdijkl" if rng.random() > (i % 5) / 5 else "efgh") for _ in range(30))) for i in range(80)]
     d = spark.createDataFrame(docs, "doc_id bigint, text string")
-    g = spark.createDataFrame([(i, 1 + i % 5, "r", None) for i in range(0, 80, 3)], "doc_id bigint, level int, rater string, rated_at timestamp")
-    edges = levels.graph(d, g)
-    words = levels.propagate(edges, tolerance=1e-4, most=400)
-    grade = {i: 1 + i % 5 for i in range(0, 80, 3)}
+    grade = {i: 1 + i % 5 for i in range(80) if i % 4}
+    g = spark.createDataFrame([(i, x, "r", None) for i, x in grade.items()], "doc_id bigint, level int, rater string, rated_at timestamp")
+    words = levels.propagate(levels.graph(d, g))
     num, den = {}, {}
     for i, text in docs:
         own = [levels.zlib.crc32(w.encode()) & (levels.NODES - 1) for w in text.split()]
@@ -439,4 +484,4 @@ def test_levels_at_rest_are_harmonic(spark):
         level = grade.get(i, min(5.0, max(1.0, line[0] * mean + line[1])))
         for k in own:
             num[k], den[k] = num.get(k, 0) + level / len(own), den.get(k, 0) + 1 / len(own)
-    assert all(abs(num[k] / den[k] - words.level[k]) < 2e-3 for k in num)
+    assert len(words.residuals) > 1 and all(abs(num[k] / den[k] - words.level[k]) <= levels.TOLERANCE for k in num)
