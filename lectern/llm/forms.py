@@ -1,8 +1,11 @@
 """One form for texts that look the same: confusables skeletons, and the values that deviate from their usual form (5).
 
-The skeleton of a text is its compatibility decomposition with every look-alike letter replaced by its prototype and
-decomposed again, without invisible characters and with plain spaces; texts that look the same share it. The canonical
-form is for reading and comparing: it composes letters, and resolves look-alikes only inside words that mix scripts.
+The skeleton of a text is its compatibility decomposition with every look-alike character replaced by its prototype and
+decomposed again, without invisible characters and with plain spaces; texts that look the same share it. Prototypes are
+those of Unicode's whole table of confusable characters (Unicode Technical Standard 39, Unicode licence), which Spark
+brings along in its ICU library, and those of the letters below. The canonical form is for reading and comparing: it
+composes letters, and resolves look-alikes only inside words that mix scripts. A text deviates where it and its canonical
+form share a skeleton and differ: it looks as the usual form does and is made of other characters.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ import unicodedata
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Letters that look like a Latin letter, by script (after Unicode's table of confusable characters).
@@ -28,13 +31,16 @@ ARMENIAN = {
     "Լ": "L", "Օ": "O", "Ս": "U", "Տ": "S",
     "ց": "g", "զ": "q", "հ": "h", "ո": "n", "ս": "u", "օ": "o", "ք": "p",
 }
+CHEROKEE = {
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+}
 LATIN = {"ı": "i", "ɑ": "a", "ɡ": "g"}
-PROTOTYPES = {**CYRILLIC, **GREEK, **ARMENIAN, **LATIN}
+PROTOTYPES = {**CYRILLIC, **GREEK, **ARMENIAN, **CHEROKEE, **LATIN}
 
 #: Thai and Lao vowels are single letters of their script, though a compatibility decomposition exists.
 NATIVE_COMPAT = "ำຳ"
 MARKS = "̀-ͯ"
-SCRIPTS = ("A-Za-zªºÀ-ÖØ-öø-ɏɐ-ʯḀ-ỿ", "Ͱ-ͳͶ-ͽͿ-Ͽἀ-῿", "Ѐ-҂Ҋ-ԯ", "Ա-֏")
+SCRIPTS = ("A-Za-zªºÀ-ÖØ-öø-ɏɐ-ʯḀ-ỿ", "Ͱ-ͳͶ-ͽͿ-Ͽἀ-῿", "Ѐ-҂Ҋ-ԯ", "Ա-֏", "Ꭰ-Ᏽᏸ-ᏽꭰ-ꮿ")
 
 
 @cache
@@ -113,7 +119,7 @@ def _to_script() -> list[dict[str, str]]:
     """For each script, letters of the others that have a look-alike in it."""
     latin = dict(PROTOTYPES)
     out = [latin]
-    for own in (GREEK, CYRILLIC, ARMENIAN):
+    for own in (GREEK, CYRILLIC, ARMENIAN, CHEROKEE):
         back: dict[str, str] = {}
         for c, p in own.items():
             back.setdefault(p, c)
@@ -128,7 +134,7 @@ def _to_script() -> list[dict[str, str]]:
 def _resolve(word: str) -> str:
     """A word of mixed scripts in the one script that explains it best: fewest letters without a look-alike, then most letters."""
     p = _patterns()
-    by = [len(p[f"script{i}"].findall(word)) for i in range(4)]
+    by = [len(p[f"script{i}"].findall(word)) for i in range(len(SCRIPTS))]
     if sum(n > 0 for n in by) < 2:
         return word
     base = unicodedata.normalize("NFD", word)
@@ -136,7 +142,7 @@ def _resolve(word: str) -> str:
     def left(i: int) -> int:
         return sum(1 for c in base if not p[f"script{i}"].match(c) and not unicodedata.combining(c) and c not in _to_script()[i])
 
-    best = min((i for i in range(4) if by[i]), key=lambda i: (left(i), -by[i], i))
+    best = min((i for i in range(len(SCRIPTS)) if by[i]), key=lambda i: (left(i), -by[i], i))
     table = _to_script()[best]
     return unicodedata.normalize("NFC", "".join(c if p[f"script{best}"].match(c) else table.get(c, c) for c in base))
 
@@ -154,13 +160,16 @@ def canonical(text: str) -> str:
     return text
 
 
-def skeleton(text: str) -> str:
-    """Decompose, replace each character by its prototype, decompose again; invisible characters go, spaces are plain."""
-    if text.isascii():
-        return text
+def skeleton(text: str, table: dict[int, str] | None = None) -> str:
+    """Decompose, replace each character by its prototype, decompose again; invisible characters go, spaces are plain.
+
+    ``table``: prototypes by code point, as :func:`confusables` gives them; those of the letters above if not given.
+    """
     p = _patterns()
-    text = unicodedata.normalize("NFKD", p["space"].sub(" ", p["invisible"].sub("", text)))
-    return unicodedata.normalize("NFKD", text.translate(_prototypes()))
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", p["space"].sub(" ", p["invisible"].sub("", text)))
+    text = text.translate(_prototypes() if table is None else table)
+    return text if text.isascii() else unicodedata.normalize("NFKD", text)
 
 
 @cache
@@ -168,6 +177,24 @@ def _prototypes() -> dict[int, str]:
     return {ord(k): v for k, v in PROTOTYPES.items()}
 
 
+#: Code points of the table of confusables: the planes in which letters and signs of living scripts are.
+TABLE_END = 0x20000
+
+
+def confusables(spark: SparkSession) -> dict[int, str]:
+    """Prototypes by code point: Unicode's table as Spark's ICU library holds it, asked once for all characters, and the
+    letters above with the same prototypes as what they look like. Of fixed size, whatever the data."""
+    chars = [chr(c) for c in range(0x20, TABLE_END) if not 0xD800 <= c < 0xE000]
+    asked = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join(chars)).split("\n")
+    if len(asked) != len(chars):
+        raise ValueError("the table of confusables can't be read")
+    # decompositions aren't told apart by it: they are made before and after
+    table = {ord(c): x for c, x in zip(chars, asked) if c == unicodedata.normalize("NFKD", c) and x != c and c != " "}
+    for c, x in PROTOTYPES.items():
+        table[ord(c)] = "".join(table.get(ord(y), y) for y in x)
+    return table
+
+
 def reasons(text: str) -> list[str]:
     """Why a text deviates from its usual form, in a fixed order; empty if it doesn't."""
     if text.isascii():
@@ -202,58 +229,30 @@ def letters_of(text: str) -> str:
     return "".join(words_of(text))
 
 
-def _udf(f, kind: str, none: object = None):
-    @F.arrow_udf(kind)
-    def run(a: pa.Array) -> pa.Array:
-        done: dict[str, object] = {}
-        out = []
-        for x in a.to_pylist():
-            if x is None:
-                out.append(none)
-            else:
-                y = done.get(x, done)
-                if y is done:
-                    y = f(x)
-                    if len(x) < 200:
-                        done[x] = y
-                out.append(y)
-        return pa.array(out, type=pa.list_(pa.string()) if kind.startswith("array") else pa.string())
-
-    return run
-
-
-def skeleton_of(text: str | Column) -> Column:
-    """Column of :func:`skeleton`; null for null."""
-    return _udf(skeleton, "string")(text)
-
-
-def canonical_of(text: str | Column) -> Column:
-    """Column of :func:`canonical`; null for null."""
-    return _udf(canonical, "string")(text)
-
-
 def deviations(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``skeleton``, ``canonical`` and ``reasons`` of each text, found in one pass.
+    """``df`` with ``skeleton``, ``canonical``, ``deviates`` and ``reasons`` of each text, found in one pass.
 
-    Null texts give nulls and no reasons; empty and plain texts are their own forms. Any length is taken whole. ``df``'s
-    columns named so are replaced.
+    ``deviates``: the text isn't its canonical form, which has the same skeleton. Null texts give nulls, no reasons and
+    don't deviate; empty and plain texts are their own forms. Any length is taken whole. ``df``'s columns named so are
+    replaced.
     """
-    out = "struct<skeleton:string,canonical:string,reasons:array<string>>"
+    shared = df.sparkSession.sparkContext.broadcast(confusables(df.sparkSession))
+    out = "struct<skeleton:string,canonical:string,deviates:boolean,reasons:array<string>>"
 
     @F.arrow_udf(out)
     def forms(a: pa.Array) -> pa.Array:
+        table = shared.value
         x = a.to_pylist()
+        skeletons = [None if t is None else skeleton(t, table) for t in x]
+        usual = [None if t is None else canonical(t) for t in x]
+        other = [t is not None and u != t and skeleton(u, table) == s for t, u, s in zip(x, usual, skeletons)]
         return pa.StructArray.from_arrays(
-            [
-                pa.array([None if t is None else skeleton(t) for t in x], pa.string()),
-                pa.array([None if t is None else canonical(t) for t in x], pa.string()),
-                pa.array([[] if t is None else reasons(t) for t in x], pa.list_(pa.string())),
-            ],
-            names=["skeleton", "canonical", "reasons"],
+            [pa.array(skeletons, pa.string()), pa.array(usual, pa.string()), pa.array(other, pa.bool_()), pa.array([reasons(t) if o else [] for t, o in zip(x, other)], pa.list_(pa.string()))],
+            names=["skeleton", "canonical", "deviates", "reasons"],
         )
 
     y = df.withColumn("__forms", forms(F.col(text)))
-    for c in ("skeleton", "canonical", "reasons"):
+    for c in ("skeleton", "canonical", "deviates", "reasons"):
         y = y.withColumn(c, F.col(f"__forms.{c}"))
     return y.drop("__forms")
 
@@ -265,6 +264,6 @@ def same_looking(df: DataFrame, text: str = "text") -> DataFrame:
     for each task.
     """
     x = df.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("form")).agg(F.count("*").alias("n"))
-    x = deviations(x, "form").select("skeleton", "form", "n", (F.size("reasons") > 0).alias("odd"))
+    x = deviations(x, "form").select("skeleton", "form", "n", F.col("deviates").alias("odd"))
     x = x.groupBy("skeleton").agg(F.count("*").alias("n_forms"), F.sum("n").alias("n_values"), F.sum(F.col("odd").cast("int")).alias("deviating"))
     return x.where("n_forms > 1")

@@ -38,7 +38,7 @@ def _values(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    x = forms.deviations(_values(spark, sf)).where(F.size("reasons") > 0)
+    x = forms.deviations(_values(spark, sf)).where("deviates")
     return x.select("kind", "key_a", "key_b").distinct()
 
 

@@ -35,6 +35,31 @@ def test_skeletons_meet():
         assert forms.skeleton(forms.skeleton(t)) == forms.skeleton(t)
 
 
+def test_the_whole_table_of_confusables(spark):
+    table = forms.confusables(spark)
+    assert len(table) > 2000
+    for a, b in (("l0ve", "lOve"), ("Ꭺpple", "Apple"), ("rn", "m"), ("сор", "cop"), ("ԛԝе", "qwe"), ("Ⅰ1l", "lIl"), ("вход", "bxoд"), ("ﬁle", "file"), ("ngừng", "ngừng")):
+        assert forms.skeleton(a, table) == forms.skeleton(b, table), (a, b)
+    for a, b in (("port", "part"), ("dài", "dai"), ("файл", "фаил")):
+        assert forms.skeleton(a, table) != forms.skeleton(b, table), (a, b)
+    # what a letter is resolved to inside a word of another script has its skeleton
+    for i, own in enumerate(forms._to_script()):
+        assert all(forms.skeleton(forms.canonical(c), table) == forms.skeleton(x, table) for c, x in own.items() if c == forms.canonical(c)), i
+
+
+@pytest.mark.parametrize(
+    ("kind", "texts"),
+    [
+        ("full-width", ["Ｑｕｅｕｅ", "Port２２", "ｶﾅ"]), ("compatibility", ["ﬁle", "𝖢𝖺𝖼𝗁𝖾", "Ⅳ", "x²"]), ("decomposed", ["cu\u0309a", "e\u0301tude", "か\u3099"]), ("singleton", ["\u212bngström", "10 \u212a"]),
+        ("invisible", ["a\u200bb", "sha\u00addow", "x\ufeff", "ไทย\u200b"]), ("space", ["a\u00a0b", "あ\u3000い", "a\u2009b"]), ("script", ["pоrt", "Ꭺpple", "кнoпки", "Ρort", "loոg", "ріпe"]),
+    ],
+)
+def test_planted_deviations(spark, kind, texts):
+    df = spark.createDataFrame([(t, True) for t in texts] + [(forms.canonical(t), False) for t in texts] + [(t, False) for t in ("сор", "Ελλάδα", "“a…”", "東京Tower", "ngừng", "ज़रूरी", "ทำงาน", "naïve café", "10 µm"[:3], "l0ve")], "text string, odd boolean")
+    got = [(r.text, r.odd, r.deviates) for r in forms.deviations(df).collect()]
+    assert all(odd == deviates for _, odd, deviates in got), [g for g in got if g[1] != g[2]]
+
+
 def test_deviations_and_groups(spark):
     rows = [(1, 0, 0.0, 1.0, t, "c", "s") for t in ("pоrt", "port", "port", None, "", "x" * 100_000)]
     df = spark.createDataFrame(rows, SEG)
