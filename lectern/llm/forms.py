@@ -191,7 +191,9 @@ def confusables(spark: SparkSession) -> dict[int, str]:
     # decompositions aren't told apart by it: they are made before and after
     table = {ord(c): x for c, x in zip(chars, asked) if c == unicodedata.normalize("NFKD", c) and x != c and c != " "}
     for c, x in PROTOTYPES.items():
-        table[ord(c)] = "".join(table.get(ord(y), y) for y in x)
+        for own in {c, unicodedata.normalize("NFKD", c)}:
+            if len(own) == 1:
+                table[ord(own)] = "".join(table.get(ord(y), y) for y in x)
     return table
 
 
