@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -26,6 +28,24 @@ def words_pattern(phrase: str) -> str:
     return r"(?<!\w)" + r"\s+".join(map(re.escape, phrase.split())) + r"(?!\w)"
 
 
+_BUILT: dict[str, object] = {}
+
+
+class Shared:
+    """Settings sent to all tasks, and what ``build`` makes of them once in each worker process."""
+
+    def __init__(self, spark: SparkSession, settings: object, build: Callable[[object], object]):
+        self.sent, self.build, self.name = spark.sparkContext.broadcast(settings), build, uuid.uuid4().hex
+
+    @property
+    def value(self) -> object:
+        if self.name not in _BUILT:
+            if len(_BUILT) > 8:
+                _BUILT.clear()
+            _BUILT[self.name] = self.build(self.sent.value)
+        return _BUILT[self.name]
+
+
 @dataclass
 class Rule:
     source: str
@@ -163,12 +183,13 @@ def correct(segments: DataFrame, rules: list[Rule], terms: list[str]) -> DataFra
     Adds ``raw_text``, ``n_case``, ``rule_hits``, ``candidates`` (of the corrected text). Null texts stay null.
     """
     spark = segments.sparkSession
-    shared = spark.sparkContext.broadcast((rules, terms))
+    spellers = Shared(spark, (rules, terms), lambda x: (Speller(x[1]), Rules([r for r in x[0] if r.auto])))
+    shared = Shared(spark, rules, Rules)
     spelled_type = "struct<text:string,n_case:int,matches:boolean>"
 
     @F.arrow_udf(spelled_type)
     def spelled(a: pa.Array) -> pa.Array:
-        speller, auto = Speller(shared.value[1]), Rules([r for r in shared.value[0] if r.auto])
+        speller, auto = spellers.value
         rows = [("", 0, False) if x is None else (*(y := speller.spell(x)), bool(auto.matching(y[0]))) for x in a.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.bool_()))], names=["text", "n_case", "matches"])
 
@@ -184,7 +205,7 @@ def correct(segments: DataFrame, rules: list[Rule], terms: list[str]) -> DataFra
     islands = islands.repartition("video_id", "__island").sortWithinPartitions("video_id", "__island", "id")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Rules(shared.value[0])
+        made = shared.value
         last = (None, None, "")
         for b in batches:
             texts, hits = [], []
@@ -204,7 +225,7 @@ def correct(segments: DataFrame, rules: list[Rule], terms: list[str]) -> DataFra
 
     @F.arrow_udf("array<string>")
     def left_over(prev: pa.Array, text: pa.Array, following: pa.Array) -> pa.Array:
-        made = Rules(shared.value[0])
+        made = shared.value
         return pa.array([made.candidates(p or "", t or "", n or "") for p, t, n in zip(prev.to_pylist(), text.to_pylist(), following.to_pylist())], pa.list_(pa.string()))
 
     now = F.coalesce("text", F.lit(""))
@@ -214,56 +235,77 @@ def correct(segments: DataFrame, rules: list[Rule], terms: list[str]) -> DataFra
 
 
 class Near:
-    """Whether a run is nearly one of the terms, and none of them. Terms wait by length, their letters as bits."""
+    """Whether runs are nearly one of the terms, and none of them.
+
+    A run's letters and a term's, as bits, bound what they can share; all pairs of a batch are bounded at once, and what
+    the bound leaves is compared. What was found of a run is remembered, for as many as MEMORY.
+    """
+
+    MEMORY = 1_000_000
+    PAIRS = 4_000_000
 
     def __init__(self, terms: list[str]):
-        self.terms = set(terms)
-        self.bit = {c: 1 << i for i, c in enumerate(sorted(set("".join(terms))))}
-        self.by: dict[int, list[tuple[str, int]]] = {}
-        for t in terms:
-            self.by.setdefault(len(t), []).append((t, self._letters(set(t))))
-
-    def _letters(self, letters: set[str]) -> int:
-        return sum(self.bit.get(c, 0) for c in letters)
-
-    def __call__(self, run: str) -> bool:
-        if run in self.terms:
-            return False
-        n, letters = len(run), self._letters(set(run))
-        strange = sum(c not in self.bit for c in run)
-        for m in range(-(-n * NEAR // (200 - NEAR)), n * (200 - NEAR) // NEAR + 1):
-            least = -(-NEAR * (n + m) // 200)
-            for term, has in self.by.get(m, ()):
-                # letters that the other lacks can't be shared
-                if strange + (letters & ~has).bit_count() > n - least or (has & ~letters).bit_count() > m - least:
-                    continue
-                if lcs(run, term) >= least:
-                    return True
-        return False
+        self.terms = terms
+        self.known: dict[str, bool] = {}
+        self.exact = dict.fromkeys(terms, False)
+        self.letters = np.array([self._letters(t) for t in terms], np.uint64)
+        self.sizes = np.array([len(t) for t in terms])
+
+    @staticmethod
+    def _letters(text: str) -> int:
+        """Letters as 64 bits; two that share one only weaken the bound."""
+        bits = 0
+        for c in text:
+            bits |= 1 << (ord(c) * 0x9E3779B1 >> 7 & 63)
+        return bits
+
+    def of(self, runs: list[str]) -> list[bool]:
+        if len(self.known) > self.MEMORY:
+            self.known.clear()
+        known = self.known
+        new = [r for r in dict.fromkeys(runs) if r not in known]
+        if new:
+            known.update(dict.fromkeys(new, False))
+            step = max(1, self.PAIRS // max(1, len(self.terms)))
+            for at in range(0, len(new), step):
+                self._compare(new[at : at + step])
+            known.update((r, False) for r in new if r in self.exact)
+        return [known[r] for r in runs]
+
+    def _compare(self, runs: list[str]) -> None:
+        own, n = np.array([self._letters(r) for r in runs], np.uint64)[:, None], np.array([len(r) for r in runs])[:, None]
+        m = self.sizes[None, :]
+        least = -(-NEAR * (n + m) // 200)
+        # letters that the other lacks can't be shared
+        fits = (np.minimum(n, m) >= least) & (np.bitwise_count(own & ~self.letters) <= n - least) & (np.bitwise_count(self.letters & ~own) <= m - least)
+        for i, k in zip(*(x.tolist() for x in np.nonzero(fits))):
+            r = runs[i]
+            if not self.known[r] and lcs(r, self.terms[k]) * 200 >= NEAR * (len(r) + len(self.terms[k])):
+                self.known[r] = True
 
 
 def near_misses(segments: DataFrame, terms: list[str], keys: tuple[str, ...] = ("video_id", "id")) -> DataFrame:
     """``keys`` of segments with a run of one to three words that is nearly, but not quite, a glossary term.
 
-    Runs are made distinct before they are compared, so a run that a third of all rows repeat is compared once, and only
-    with terms of lengths at which a likeness of NEAR is possible at all. The terms are settings whose size was checked.
+    Rows are marked where they are, without a shuffle of their runs; a run that many rows repeat is compared once a
+    worker. The terms are settings, sent to all tasks in a size that was checked.
     """
-    spark = segments.sparkSession
     known = sorted({folded(t) for t in terms if t.strip()})
     if not known:
         return segments.select(*keys).limit(0)
-    runs = segments.where("text is not null").select(*keys, T.fold("text").alias("folded"))
-    runs = runs.select(*keys, F.explode(F.array_distinct(T.ngrams(T.tokens("folded")))).alias("run"))
-    runs = runs.where(F.length("run") > 0)
-    shared = spark.sparkContext.broadcast(known)
+    shared = Shared(segments.sparkSession, known, Near)
 
     @F.arrow_udf(BooleanType())
     def nearly(a: pa.Array) -> pa.Array:
-        near = Near(shared.value)
-        return pa.array([near(x) for x in a.to_pylist()], pa.bool_())
-
-    # as many tasks as there are cores: comparing is all the work, however few bytes the runs have
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # said not to be deterministic, so that it isn't moved below the distinct
-    near = runs.select("run").distinct().repartition(tasks, "run").where(nearly.asNondeterministic()("run"))
-    return runs.join(near, "run", "left_semi").select(*keys).distinct()
+        near, runs, rows = shared.value, [], []
+        for i, x in enumerate(a.to_pylist()):
+            words = folded(x).split() if x else []
+            mine = {" ".join(words[k : k + n]) for n in (1, 2, 3) for k in range(len(words) - n + 1)}
+            runs += mine
+            rows += [i] * len(mine)
+        out = np.zeros(len(a), bool)
+        hits = np.array(near.of(runs), bool)
+        out[np.array(rows, np.int64)[hits]] = True
+        return pa.array(out)
+
+    return segments.where("text is not null").select(*keys, nearly("text").alias("__near")).where("__near").select(*keys).distinct()
