@@ -234,6 +234,19 @@ def correct(segments: DataFrame, rules: list[Rule], terms: list[str]) -> DataFra
     return x.drop("__s", "__matches", "__next", "__prev", "__island", "__fixed", "__before", "__behind")
 
 
+def candidates_of(segments: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``segments`` (with ``prev`` and ``next``) with ``candidates``: rules that match the text as it is and wouldn't be
+    applied to it. Null texts have none."""
+    shared = Shared(segments.sparkSession, rules, Rules)
+
+    @F.arrow_udf("array<string>")
+    def found(prev: pa.Array, text: pa.Array, following: pa.Array) -> pa.Array:
+        made = shared.value
+        return pa.array([made.candidates(p or "", t or "", n or "") for p, t, n in zip(prev.to_pylist(), text.to_pylist(), following.to_pylist())], pa.list_(pa.string()))
+
+    return segments.withColumn("candidates", found("prev", "text", "next"))
+
+
 class Near:
     """Whether runs are nearly one of the terms, and none of them.
 

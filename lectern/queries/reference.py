@@ -152,36 +152,34 @@ def neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _flagged(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores, speed, length and repetition of the texts as they came; the queries of all eight checks use _flagged_by_all."""
-    return _segments(spark, sf).withColumn("flags", segments.flags_of())
+    """All eight checks of the texts as they came, with the neighbours as they came."""
+    made, terms = rules.settings_of(table(spark, sf, "correction_rules"), table(spark, sf, "glossary_files"))
+    x = rules.candidates_of(segments.with_neighbours(_segments(spark, sf, "text", "start_s", "end_s", "avg_logprob", "no_speech_prob", "compression_ratio")), made)
+    near = rules.near_misses(table(spark, sf, "segments_raw").select("video_id", "id", "text"), terms).withColumn("__near", F.lit(True))
+    return x.join(near, ["video_id", "id"], "left").withColumn("flags", segments.flags_of("text", F.col("__near"), F.size("candidates") > 0))
 
 
 def segment_flags(spark: SparkSession, sf: str) -> DataFrame:
-    """The five checks that SQL can say; all_segment_flags has all eight."""
-    x = _flagged(spark, sf).select("video_id", "id", F.array_join(F.array_remove("flags", "REPETITION"), ",").alias("flags"))
-    return x.where("flags <> ''")
+    return _flagged(spark, sf).select("video_id", "id", F.array_join("flags", ",").alias("flags")).where("flags <> ''")
 
 
 def flag_repetition(spark: SparkSession, sf: str) -> DataFrame:
-    return _flagged(spark, sf).where(F.array_contains("flags", "REPETITION")).select("video_id", "id")
+    x = _segments(spark, sf, "text", "start_s", "end_s", "avg_logprob", "no_speech_prob", "compression_ratio")
+    return x.where(F.array_contains(segments.flags_of(), "REPETITION")).select("video_id", "id")
 
 
 def flag_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Of the five checks that SQL can say; all_flag_counts has all eight."""
-    x = _flagged(spark, sf).withColumn("flags", F.array_remove("flags", "REPETITION"))
-    return segments.flag_histogram(x, ["video_id"])
+    return segments.flag_histogram(_flagged(spark, sf), ["video_id"])
 
 
 def top_flags(spark: SparkSession, sf: str) -> DataFrame:
-    """Of the five checks that SQL can say; all_top_flags has all eight."""
-    x = _flagged(spark, sf).withColumn("flags", F.array_remove("flags", "REPETITION"))
-    return segments.flag_histogram(x, ["video_id"], 3).select("video_id", "flag", "n", F.col("rank").cast("bigint").alias("rank"))
+    return segments.flag_histogram(_flagged(spark, sf), ["video_id"], 3).select("video_id", "flag", "n", F.col("rank").cast("bigint").alias("rank"))
 
 
 def llm_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """Of the five checks that SQL can say; all_llm_batches has all eight."""
-    x = _flagged(spark, sf).withColumn("flags", F.array_remove("flags", "REPETITION")).where(F.size("flags") > 0)
-    return segments.batches(x).groupBy("video_id", "batch").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    """Batches of the segments that fail any check."""
+    x = segments.batches(_flagged(spark, sf).where(F.size("flags") > 0))
+    return x.groupBy("video_id", "batch").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
 def _flagged_by_all(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,7 +188,7 @@ def _flagged_by_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def all_segment_flags(spark: SparkSession, sf: str) -> DataFrame:
-    """All eight checks on the corrected texts, near misses and candidates among them; no SQL says these."""
+    """All eight checks on the corrected texts; no SQL says how these come about."""
     return _flagged_by_all(spark, sf).select("video_id", "id", F.array_join("flags", ",").alias("flags")).where("flags <> ''")
 
 
@@ -203,7 +201,7 @@ def all_top_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def all_llm_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """Batches of all segments that fail any of the eight checks: what the pipeline asks about."""
+    """Batches of all segments whose corrected text fails any check: what the pipeline asks about."""
     x = segments.batches(_flagged_by_all(spark, sf).where(F.size("flags") > 0))
     return x.groupBy("video_id", "batch").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
@@ -410,12 +408,70 @@ def _human(c: str) -> str:
   WHEN {s} >= 60 THEN printf('%dm%02ds', {s} // 60, {s} % 60) ELSE printf('%ds', {s}) END"""
 
 
-_FLAGS = f"""flagged AS (
-  SELECT *, list_filter([
+def _folded(c: str) -> str:
+    # strip_accents takes the vowels of Devanagari for accents, so there only non-spacing marks go
+    each = r"CASE WHEN regexp_matches(x, '[\p{Devanagari}]') THEN regexp_replace(x, '\p{Mn}', '', 'g') ELSE strip_accents(x) END"
+    return rf"replace(lower(CASE WHEN regexp_matches({c}, '\p{{Devanagari}}') THEN array_to_string(list_transform(regexp_extract_all({c}, '[\p{{Devanagari}}]+|[^\p{{Devanagari}}]+'), lambda x: {each}), '') ELSE strip_accents({c}) END), 'đ', 'd')"
+
+
+# what a regular expression of the operator takes for part of a word
+_WORD = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}]"
+
+
+def _pure(c: str) -> str:
+    return f"regexp_full_match({c}, '{_WORD}+')"
+
+
+def _starts(c: str, unit: str) -> str:
+    """The token is the unit, or the unit with what is no letter behind it."""
+    return f"(lower({c}) = {unit} OR (starts_with(lower({c}), {unit}) AND NOT regexp_matches({c}[length({unit}) + 1], '{_WORD}')))"
+
+
+def _ends(c: str, unit: str) -> str:
+    return f"(lower({c}) = {unit} OR (ends_with(lower({c}), {unit}) AND NOT regexp_matches({c}[length({c}) - length({unit})], '{_WORD}')))"
+
+
+def _again() -> str:
+    """One or two words said four times on end, over the list of tokens w."""
+    one = " AND ".join([_pure("w[i + 1]"), _ends("w[i]", "lower(w[i + 1])"), "lower(w[i + 2]) = lower(w[i + 1])", _starts("w[i + 3]", "lower(w[i + 1])")])
+    two = " AND ".join([_pure("w[i + 1]"), _pure("w[i + 2]"), _ends("w[i]", "lower(w[i + 2])"), *(f"lower(w[i + {k}]) = lower(w[i + {k - 2}])" for k in (3, 4, 5, 6)), _starts("w[i + 7]", "lower(w[i + 1])")])
+    return f"(len(list_filter(range(1, len(w) - 2), lambda i: {one})) > 0 OR len(list_filter(range(1, len(w) - 6), lambda i: {two})) > 0)"
+
+
+_LCS = """list_last(list_reduce(string_split(a, ''), lambda row, c: list_reduce(range(1, length(b) + 1), lambda acc, j:
+  list_append(acc, CASE WHEN b[j] = c THEN row[j] + 1 ELSE greatest(row[j + 1], list_last(acc)) END), [0::BIGINT]), list_transform(range(0, length(b) + 1), lambda z: 0::BIGINT)))"""
+
+_NEAR = f"""texts AS MATERIALIZED (SELECT DISTINCT text FROM segments_raw WHERE text IS NOT NULL),
+words AS (SELECT text, {_tokens(_folded("text"))} AS w FROM texts),
+grams AS MATERIALIZED (SELECT DISTINCT text, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS a FROM words, (VALUES (1), (2), (3)) n(k)),
+terms AS MATERIALIZED (SELECT DISTINCT {_folded("t")} AS b FROM (SELECT unnest(terms) AS t FROM glossary_files) q WHERE length({_strip("t")}) > 0),
+sized AS MATERIALIZED (SELECT x, g, length(x) AS n, strlen(x) - length(x) AS more, length(regexp_replace(x, '[\\x00-\\x7f]', '', 'g')) AS wide FROM (SELECT DISTINCT a AS x, true AS g FROM grams WHERE a NOT IN (SELECT b FROM terms) UNION ALL SELECT b, false FROM terms) q),
+-- the distance counts bytes, so what letters have beyond one is allowed for; wide letters can only be shared with wide ones
+close AS MATERIALIZED (SELECT p.x AS a, t.x AS b FROM sized p JOIN sized t ON p.g AND NOT t.g AND 200 * least(p.n, t.n) >= 78 * (p.n + t.n)
+  AND 200 * (p.n - greatest(p.wide - t.wide, 0)) >= 78 * (p.n + t.n) AND 100 * levenshtein(p.x, t.x) <= 22 * (p.n + t.n) + 100 * (p.more + t.more)),
+nearly AS MATERIALIZED (SELECT DISTINCT a FROM (SELECT a, length(a) + length(b) AS n, {_LCS} AS l FROM close) q WHERE 200 * l >= 78 * n),
+near AS MATERIALIZED (SELECT DISTINCT text FROM grams WHERE a IN (SELECT a FROM nearly))"""
+
+_MATCH = rf"""(CASE WHEN match_kind = 'regex' THEN regexp_matches(text, '(?i)' || from_text)
+    ELSE regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_])' || array_to_string(list_transform({_tokens("from_text")}, lambda x: regexp_escape(x)), '{_W}+') || '($|[^\p{{L}}\p{{N}}_])') END)"""
+_CANDIDATES = f"""beside AS MATERIALIZED (SELECT video_id, id, text, lag(coalesce(text, ''), 1, '') OVER w || ' ' || coalesce(text, '') || ' ' || lead(coalesce(text, ''), 1, '') OVER w AS around FROM seg WINDOW w AS (PARTITION BY video_id ORDER BY id)),
+rules AS (SELECT DISTINCT from_text, to_text, match_kind, auto, coalesce(requires_context, []) AS ctx FROM correction_rules WHERE from_text IS NOT NULL AND to_text IS NOT NULL AND length({_strip("from_text")}) > 0),
+first_words AS MATERIALIZED (SELECT *, lower({_tokens("from_text")}[1]) AS word FROM rules WHERE NOT auto OR len(ctx) > 0),
+low AS MATERIALIZED (SELECT text, lower(text) AS l FROM (SELECT DISTINCT text FROM seg WHERE text IS NOT NULL) q),
+maybe AS MATERIALIZED (SELECT low.text, r.* FROM low JOIN first_words r ON contains(low.l, r.word)),
+hits AS MATERIALIZED (SELECT text, auto, ctx FROM maybe WHERE {_MATCH}),
+open_hits AS MATERIALIZED (SELECT b.video_id, b.id, h.auto, h.ctx, b.around FROM beside b JOIN hits h ON h.text = b.text),
+cand AS MATERIALIZED (SELECT DISTINCT video_id, id FROM (SELECT video_id, id, auto, ctx, CASE WHEN auto THEN {_folded("around")} END AS f FROM open_hits) q
+  WHERE NOT auto OR len(list_filter(list_transform(ctx, lambda c: {_folded("c")}), lambda c: contains(f, c))) = 0)"""
+
+_FLAGS = f"""{_NEAR}, {_CANDIDATES}, flagged AS MATERIALIZED (
+  SELECT q.*, list_filter([
     CASE WHEN avg_logprob < -0.7 THEN 'LOW_LOGPROB' END, CASE WHEN no_speech_prob > 0.6 AND NOT isnan(no_speech_prob) THEN 'HIGH_NOSPEECH' END,
-    CASE WHEN compression_ratio > 2.4 AND NOT isnan(compression_ratio) THEN 'HIGH_COMPRESSION' END,
-    CASE WHEN length(t) / secs > 25 THEN 'FAST_TEXT' END, CASE WHEN secs < 0.35 AND length(t) > 12 THEN 'SHORT_SEGMENT' END], lambda x: x IS NOT NULL) AS flags
-  FROM (SELECT *, {_strip("coalesce(text, '')")} AS t, greatest(end_s - start_s, 0.001::DOUBLE) AS secs FROM seg) q)"""
+    CASE WHEN compression_ratio > 2.4 AND NOT isnan(compression_ratio) THEN 'HIGH_COMPRESSION' END, CASE WHEN {_again()} THEN 'REPETITION' END,
+    CASE WHEN length(t) / secs > 25 THEN 'FAST_TEXT' END, CASE WHEN secs < 0.35 AND length(t) > 12 THEN 'SHORT_SEGMENT' END,
+    CASE WHEN near.text IS NOT NULL THEN 'GLOSSARY_NEAR_MISS' END, CASE WHEN cand.id IS NOT NULL THEN 'CORRECTION_CANDIDATE' END], lambda x: x IS NOT NULL) AS flags
+  FROM (SELECT *, {_strip("coalesce(text, '')")} AS t, {_tokens("coalesce(text, '')")} AS w, greatest(end_s - start_s, 0.001::DOUBLE) AS secs FROM seg) q
+  LEFT JOIN near ON near.text = q.text LEFT JOIN cand ON cand.video_id = q.video_id AND cand.id = q.id)"""
 
 _HISTORY = "hist AS (SELECT DISTINCT * FROM video_scans)"
 _LISTED = """last AS (SELECT path, arg_max(struct_pack(s := size_bytes, m := mtime), run_id) AS x FROM video_scans GROUP BY path),
@@ -433,8 +489,6 @@ cues AS (SELECT video_id, (no - 1) // 1000 AS part, no, {cue} AS cue FROM number
 _TITLE = f"""array_to_string(list_transform(list_filter(string_split(replace(slug, '_', '-'), '-'), lambda w: w <> ''),
   lambda w: CASE WHEN lower(w) IN ({", ".join(f"'{a}'" for a in T.ACRONYMS)}) THEN upper(w) ELSE upper(w[1]) || w[2:] END), ' ')"""
 
-_LCS = """list_last(list_reduce(string_split(a, ''), lambda row, c: list_reduce(range(1, length(b) + 1), lambda acc, j:
-  list_append(acc, CASE WHEN b[j] = c THEN row[j] + 1 ELSE greatest(row[j + 1], list_last(acc)) END), [0::BIGINT]), list_transform(range(0, length(b) + 1), lambda z: 0::BIGINT)))"""
 _SHARED = f"""pairs AS (SELECT rule_id, {_strip("from_text")} AS a, {_strip("to_text")} AS b FROM correction_rules), shared AS (SELECT *, {_LCS} AS shared FROM pairs)"""
 _WORDS = f"""words AS (SELECT rule_id, {_tokens("from_text")} AS a, {_tokens("to_text")} AS b FROM correction_rules),
 coded AS (SELECT rule_id, a, b, list_concat(a, b) AS w FROM words),
@@ -476,6 +530,7 @@ SELECT ngram, count(*) AS n FROM g GROUP BY ngram""",
     "vad_settings": "SELECT video_id, CAST(json_extract_string(vad_json, '$.enabled') AS BOOLEAN) AS enabled, CAST(json_extract_string(vad_json, '$.threshold') AS DOUBLE) AS threshold FROM transcripts",
     "neighbours": f"""WITH {_SEG} SELECT video_id, id, length(lag(coalesce(text, ''), 1, '') OVER w) AS prev_chars, length(lead(coalesce(text, ''), 1, '') OVER w) AS next_chars FROM seg WINDOW w AS (PARTITION BY video_id ORDER BY id)""",
     "segment_flags": f"WITH {_SEG}, {_FLAGS} SELECT video_id, id, array_to_string(flags, ',') AS flags FROM flagged WHERE len(flags) > 0",
+    "flag_repetition": f"WITH {_SEG} SELECT video_id, id FROM (SELECT video_id, id, {_tokens("coalesce(text, '')")} AS w FROM seg) q WHERE {_again()}",
     "flag_counts": f"WITH {_SEG}, {_FLAGS} SELECT video_id, flag, count(*) AS n FROM (SELECT video_id, unnest(flags) AS flag FROM flagged) q GROUP BY video_id, flag",
     "top_flags": f"""WITH {_SEG}, {_FLAGS}, each AS (SELECT video_id, id, i, flags[i] AS flag FROM (SELECT video_id, id, flags, unnest(range(1, len(flags) + 1)) AS i FROM flagged) q),
 c AS (SELECT video_id, flag, count(*) AS n, min((id, i)) AS f FROM each GROUP BY video_id, flag), r AS (SELECT video_id, flag, n, row_number() OVER (PARTITION BY video_id ORDER BY n DESC, f, flag) AS rank FROM c)
