@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 #: Words become the code points from here on.
-FIRST = 0x100
+FIRST, SURROGATES = 0x100, 0xD800
 
 
 def lcs(a: str, b: str) -> int:
@@ -44,8 +44,9 @@ def at_least(a: Column, b: Column, percent: int) -> Column:
 def word_distance(a: Column, b: Column) -> Column:
     """Edit distance of two arrays of words: each word becomes one character, then Spark's own distance holds.
 
-    There are characters for 55,000 different words in a pair, far beyond what a quadratic distance is for.
+    Code points that stand for half a character are passed over, so there are a million of them.
     """
     words = F.array_distinct(F.concat(a, b))
-    mapped = lambda x: F.array_join(F.transform(x, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, w).cast("int") + (FIRST - 1)), 4, "0")), "UTF-16BE")), "")
+    code = lambda k: k.cast("int") + F.when(k < SURROGATES - FIRST + 1, FIRST - 1).otherwise(FIRST - 1 + 0x800)
+    mapped = lambda x: F.array_join(F.transform(x, lambda w: F.decode(F.unhex(F.lpad(F.hex(code(F.array_position(words, w))), 8, "0")), "UTF-32")), "")
     return F.levenshtein(mapped(a), mapped(b))

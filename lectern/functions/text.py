@@ -74,7 +74,7 @@ def slugify(c: str | Column, longest: int = 80) -> Column:
 def title_of(slug: str | Column) -> Column:
     """Words of a slug with their first letter in capitals, acronyms wholly."""
     words = F.filter(F.split(F.translate(_col(slug), "_", "-"), "-"), lambda w: w != "")
-    upper = F.transform(words, lambda w: F.when(F.lower(w).isin(*ACRONYMS), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))))
+    upper = F.transform(words, lambda w: F.when(F.lower(w).isin(*ACRONYMS), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, (1 << 31) - 1))))
     return F.array_join(upper, " ")
 
 

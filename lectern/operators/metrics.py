@@ -43,6 +43,17 @@ def real_time_factor(processing: Column, length: Column) -> Column:
     return processing / F.greatest(F.coalesce(length, F.lit(0.0)), F.lit(1e-4))
 
 
+def mean_word_error_rate(samples: DataFrame, keys: list[str], reference: str, heard: str) -> DataFrame:
+    """``keys, n_samples, mean_wer``: the mean over samples in percent, two decimals; blank references are left out."""
+    x = samples.withColumn("__w", word_error_rate(F.col(reference), F.col(heard))).where("__w is not null")
+    return x.groupBy(*keys).agg(F.count("*").alias("n_samples"), F.round(F.avg("__w") * 100, 2).alias("mean_wer"))
+
+
+def token_sums(asked: DataFrame) -> DataFrame:
+    """``video_id, tokens_in, tokens_out``: what the batches of each video took."""
+    return asked.groupBy("video_id").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
+
+
 def score_grid(videos: DataFrame, backends: list[str], models: list[str]) -> DataFrame:
     """A row for each video, backend and model to be tried."""
     return videos.select("*", F.explode(F.array(*map(F.lit, backends))).alias("backend")).select("*", F.explode(F.array(*map(F.lit, models))).alias("model"))

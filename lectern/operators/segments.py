@@ -9,6 +9,7 @@ from lectern.functions import text as T
 
 # Limits beyond which a segment is flagged.
 LOW_LOGPROB, HIGH_NOSPEECH, HIGH_COMPRESSION = -0.70, 0.60, 2.4
+ACCEPT = 0.85
 FAST_CHARS_A_SECOND, SHORT_SECONDS, SHORT_CHARS, LEAST_SECONDS = 25.0, 0.35, 12, 0.001
 #: One or two words, said four times or more on end.
 REPEATED = r"(?iuU)\b(\w+(?:\s+\w+)?)\b(?:\s+\1\b){3,}"
@@ -54,7 +55,7 @@ def flag_histogram(flagged: DataFrame, keys: list[str], top: int | None = None)
     return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).drop("first")
 
 
-def gate(raw: Column, corrected: Column, changed: Column, confidence: Column, shared: Column) -> Column:
+def gate(raw: Column, corrected: Column, changed: Column, confidence: Column, shared: Column, least: float = ACCEPT) -> Column:
     """Why a proposed text is refused, the first reason holding; null where it is accepted or nothing is proposed.
 
     ``raw`` and ``corrected`` are stripped, ``shared`` is the length of their common subsequence. Null confidence is 0.
@@ -65,7 +66,7 @@ def gate(raw: Column, corrected: Column, changed: Column, confidence: Column, sh
         F.when(~F.coalesce(changed, F.lit(False)), F.lit(None).cast("string"))
         .when(corrected.isNull() | (corrected == ""), F.lit("empty_correction"))
         .when(corrected == raw, F.lit("identical_to_raw"))
-        .when(F.coalesce(confidence, F.lit(0.0)) < 0.85, F.lit("confidence_below_0.85"))
+        .when(F.coalesce(confidence, F.lit(0.0)) < least, F.lit(f"confidence_below_{least:.2f}"))
         .when(shared * 200 < (a + b) * 60, F.lit("fuzz_ratio_below_60"))
         .when((b * 10 < F.greatest(a, F.lit(1)) * 7) | (b * 10 > F.greatest(a, F.lit(1)) * 14), F.lit("length_ratio_outside_0.7_1.4"))
         .when(T.digit_runs(raw) != T.digit_runs(corrected), F.lit("numbers_modified"))
@@ -116,7 +117,7 @@ def split_cached(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, Data
 ANSWER = "id bigint, changed boolean, corrected string, reason string, confidence double, needs_review boolean"
 
 
-def decide(segments: DataFrame, answers: DataFrame) -> DataFrame:
+def decide(segments: DataFrame, answers: DataFrame, least: float = ACCEPT) -> DataFrame:
     """Segments joined with the last answer of each and the gate's verdict.
 
     ``segments`` has video_id, id, raw_text, text (after the rules), flags; ``answers`` has video_id, ord and the fields of
@@ -128,7 +129,7 @@ def decide(segments: DataFrame, answers: DataFrame) -> DataFrame:
     last = latest(answers, ["video_id", "id"], ["ord"]).withColumn("answered", F.lit(True))
     x = segments.join(last.select("video_id", "id", "changed", "corrected", "confidence", F.col("needs_review").alias("doubt"), "answered"), ["video_id", "id"], "left")
     raw, new = T.strip("raw_text"), T.strip("corrected")
-    x = x.withColumn("rejected_reason", gate(raw, new, F.col("changed"), F.col("confidence"), common(raw, new)))
+    x = x.withColumn("rejected_reason", gate(raw, new, F.col("changed"), F.col("confidence"), common(raw, new), least))
     x = x.withColumn("accepted", F.coalesce(F.col("changed"), F.lit(False)) & F.col("rejected_reason").isNull())
     flagged = F.size("flags") > 0
     review = F.when(F.col("answered").isNull(), flagged).when(F.col("rejected_reason").isNotNull(), True).when(F.col("accepted"), F.coalesce("doubt", F.lit(False))).otherwise(F.coalesce("doubt", F.lit(False)))

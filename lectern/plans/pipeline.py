@@ -36,24 +36,27 @@ def recogniser(name: str) -> Recogniser:
 
 
 def ask(requests: DataFrame, answerer: Answerer, size: int) -> DataFrame:
-    """``video_id, batch, answer, error``: one call a batch of at most ``size`` requests; a failed call fails only its batch."""
+    """``video_id, batch, answer, error, tokens_in, tokens_out``: one call a batch of at most ``size`` requests; a failed call
+    fails only its batch. Tokens are those that the answerer counted for the batch, if it counts any."""
     x = segments.batches(requests, size).groupBy("video_id", "batch").agg(F.array_sort(F.collect_list(F.struct("id", "prev", "text", "next", "flags"))).alias("r"))
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
 
         for b in batches:
-            out, errors = [], []
+            out, errors, used = [], [], []
             for r in b.column("r").to_pylist():
+                before = [getattr(answerer, n, 0) for n in ("tokens_in", "tokens_out")]
                 try:
                     out.append(json.dumps({"results": answerer(r)}, ensure_ascii=False))
                     errors.append(None)
                 except Exception as e:  # noqa: BLE001 - a failed batch is data
                     out.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
-            yield pa.RecordBatch.from_arrays([b.column("video_id"), b.column("batch"), pa.array(out, pa.string()), pa.array(errors, pa.string())], names=["video_id", "batch", "answer", "error"])
+                used.append([getattr(answerer, n, 0) - k for n, k in zip(("tokens_in", "tokens_out"), before)])
+            yield pa.RecordBatch.from_arrays([b.column("video_id"), b.column("batch"), pa.array(out, pa.string()), pa.array(errors, pa.string()), *(pa.array([u[k] for u in used], pa.int64()) for k in (0, 1))], names=["video_id", "batch", "answer", "error", "tokens_in", "tokens_out"])
 
-    return x.mapInArrow(call, "video_id bigint, batch bigint, answer string, error string")
+    return x.mapInArrow(call, "video_id bigint, batch bigint, answer string, error string, tokens_in bigint, tokens_out bigint")
 
 
 def answers_of(asked: DataFrame) -> DataFrame:
@@ -75,15 +78,14 @@ def flagged(raw: DataFrame, rule_table: DataFrame, glossary: DataFrame) -> DataF
 
 
 def correct(raw: DataFrame, rule_table: DataFrame, glossary: DataFrame, settings: Settings | None = None, answerer: Answerer | None = None) -> DataFrame:
-    """Segments spelled, corrected, flagged and, with an answerer, asked about and decided. One shuffle on video_id serves
-    all ordered steps. Without an answerer every flagged segment needs review."""
+    """Segments spelled, corrected, flagged and, with an answerer, asked about and decided. Without an answerer every flagged segment needs review."""
     settings = settings or Settings()
     x = flagged(raw, rule_table, glossary)
     if answerer is None:
         return x.withColumn("asked", F.lit(False)).withColumn("accepted", F.lit(False)).withColumn("rejected_reason", F.lit(None).cast("string")).withColumn("needs_review", F.size("flags") > 0)
     x = segments.with_neighbours(x)
     answers = answers_of(ask(x.where(F.size("flags") > 0), answerer, settings.batch_size))
-    return segments.decide(x.withColumn("asked", F.size("flags") > 0), answers).drop("prev", "next")
+    return segments.decide(x.withColumn("asked", F.size("flags") > 0), answers, settings.accept_confidence).drop("prev", "next")
 
 
 def differences(decided: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lectern.queries import general, reference
+from lectern.queries import general, reference, service
 
-QUERIES = {**reference.QUERIES, **general.QUERIES}
-ORACLE = {**reference.ORACLE, **general.ORACLE}
+QUERIES = {**reference.QUERIES, **service.QUERIES, **general.QUERIES}
+ORACLE = {**reference.ORACLE, **service.ORACLE, **general.ORACLE}
 FLAGSHIP = QUERIES["srt_documents"]

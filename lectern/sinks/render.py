@@ -44,6 +44,11 @@ def txt(segments: DataFrame) -> DataFrame:
     return _joined(_cues(segments), F.col("line"), "\n")
 
 
+def spoken(segments: DataFrame) -> DataFrame:
+    """The texts of a transcript with one space between, null as empty; parts join by a space."""
+    return _joined(_cues(segments), F.coalesce("text", F.lit("")), " ")
+
+
 def markdown(segments: DataFrame, headers: DataFrame, timed_only: bool = False) -> DataFrame:
     """The first part opens with title and facts of its transcript; cues say where review is needed.
 

@@ -129,7 +129,7 @@ def decode(content: bytes) -> np.ndarray:
 
 
 def ground_truth(spark: SparkSession, folder: str, slugs: list[str]) -> DataFrame:
-    """``slug, must_contain, must_not_contain, samples`` of YAML files ``slug.yml`` or ``slug.yaml``; others have none."""
+    """``slug, must_contain, must_not_contain, samples`` of YAML files ``slug.yml`` or ``slug.yaml``; others, and broken ones, have none."""
     import os
 
     rows = []
@@ -137,7 +137,10 @@ def ground_truth(spark: SparkSession, folder: str, slugs: list[str]) -> DataFram
         for suffix in (".yml", ".yaml"):
             path = os.path.join(folder, s + suffix)
             if os.path.exists(path):
-                y = _yaml(path)
+                try:
+                    y = _yaml(path)
+                except Exception:  # noqa: BLE001 - a broken file is as good as none
+                    break
                 rows.append((s, list(y.get("must_contain") or []), list(y.get("must_not_contain") or []), [(float(x.get("start", 0)), str(x.get("text", ""))) for x in y.get("sample_segments") or []]))
                 break
     return spark.createDataFrame(rows, "slug string, must_contain array<string>, must_not_contain array<string>, samples array<struct<sample_s:double,text:string>>")
