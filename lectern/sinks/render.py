@@ -75,6 +75,23 @@ def as_json(c: str | Column) -> Column:
     return F.to_json(c, {"ignoreNullFields": "false"})
 
 
+def json_transcript(segments: DataFrame, headers: DataFrame, fields: list[str]) -> DataFrame:
+    """A JSON document for each video, its facts first, then its segments in order: raw, corrected, or what was changed.
+
+    ``headers``: video_id and the facts; ``fields``: those of a segment. Parts join by a line break, and JSON_END ends the
+    document; a video without segments has an empty list of them.
+    """
+    facts = F.to_json(F.struct(*[c for c in headers.columns if c != "video_id"]), {"ignoreNullFields": "false"})
+    heads = headers.select("video_id", F.concat(F.lit('{"video": '), facts, F.lit(', "segments": [')).alias("head"))
+    x = _joined(_cues(segments), as_json(F.struct(*fields)), ",\n")
+    x = heads.join(x, "video_id", "left").select("video_id", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("n_cues", F.lit(0)).alias("n_cues"), "head", F.coalesce("content", F.lit("")).alias("content"))
+    return x.select("video_id", "part", "n_cues", F.concat(F.when(F.col("part") == 0, F.col("head")).otherwise(","), "content").alias("content"))
+
+
+#: What ends a document of :func:`json_transcript`.
+JSON_END = "]}\n"
+
+
 def replace_file(path: str, chunks: Iterator[str]) -> None:
     """Write a text file as a whole or not at all: a temporary file beside it, synced, takes its place."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
@@ -97,8 +114,8 @@ def replace_file(path: str, chunks: Iterator[str]) -> None:
         os.close(d)
 
 
-def write_documents(parts: DataFrame, folder: str, name: str = "slug", suffix: str = ".srt", last: str = "") -> DataFrame:
-    """Files ``folder/<name>/transcript<suffix>`` in a folder all executors share; returns ``path, n_parts`` of each.
+def write_documents(parts: DataFrame, folder: str, name: str = "slug", suffix: str = ".srt", last: str = "", stem: str = "transcript") -> DataFrame:
+    """Files ``folder/<name>/<stem><suffix>`` in a folder all executors share; returns ``path, n_parts`` of each.
 
     ``parts`` has ``name``, part, content. The parts of a document stream through one task in order.
     """
@@ -118,7 +135,7 @@ def write_documents(parts: DataFrame, folder: str, name: str = "slug", suffix: s
                     row = next(rows, None)
                 yield last
 
-            path = os.path.join(folder, str(current), "transcript" + suffix)
+            path = os.path.join(folder, str(current), stem + suffix)
             replace_file(path, chunks())
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "n_parts"])
 
