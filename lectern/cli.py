@@ -41,11 +41,23 @@ def _selected(videos: DataFrame, chosen: DataFrame, a: argparse.Namespace) -> Da
     return state.by_path(videos, a.video) if a.video else chosen
 
 
+FACTS = "filename string, duration_seconds double, model string, backend string, language string, size_bytes bigint, created_at timestamp, tool_version string, processing_seconds double, real_time_factor double"
+
+
+def _headers(spark: SparkSession, a: argparse.Namespace, videos: DataFrame) -> DataFrame:
+    """``videos`` with the facts of their transcripts; what a video's transcript doesn't have is null."""
+    x = table(spark, a.tables, "transcripts")
+    if "video_id" not in x.columns:
+        x = spark.createDataFrame([], "video_id bigint")
+    facts = [(F.col(n) if n in x.columns else F.lit(None)).cast(kind).alias(n) for n, kind in (f.split() for f in FACTS.split(", "))]
+    return videos.join(x.dropDuplicates(["video_id"]).select("video_id", *facts), "video_id", "left")
+
+
 def write_json(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """raw.json, corrected.json and corrections.json of the videos whose turn it is, each replaced as a whole below --out."""
     videos = table(spark, a.tables, "videos")
     videos = _selected(videos, state.to_correct(videos, a.force, a.limit), a).select(F.col("id").alias("video_id"), "slug")
-    heads = table(spark, a.tables, "transcripts").dropDuplicates(["video_id"]).join(videos, "video_id").drop("slug")
+    heads = _headers(spark, a, videos).drop("slug")
     raw = segments.once(table(spark, a.tables, "segments_raw")).join(videos.select("video_id"), "video_id", "left_semi")
     done = materialise(pipeline.correct(raw, table(spark, a.tables, "correction_rules"), table(spark, a.tables, "glossary_files"), Settings.load(a.settings)), "decided")
     scores = ["id", "start_s", "end_s", "text", "avg_logprob", "no_speech_prob", "compression_ratio", "temperature", "confidence", "window_index"]
@@ -69,7 +81,7 @@ def export(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     else:
         x = x.withColumn("needs_review", F.lit(False))
     x = x.withColumn("needs_review", F.coalesce("needs_review", F.lit(False))).join(videos.select("video_id"), "video_id", "left_semi")
-    heads = table(spark, a.tables, "transcripts").dropDuplicates(["video_id"]).select("video_id", "filename", "duration_seconds", "model", "language").join(videos.select("video_id", "slug"), "video_id")
+    heads = _headers(spark, a, videos.select("video_id", "slug"))
     made = zip(FORMATS, (render.srt(x), render.txt(x), render.markdown(x, heads)), ("", "\n", ""))
     out = [render.write_documents(d.join(videos.select("video_id", "slug"), "video_id"), a.out, suffix=suffix, last=last) for suffix, d, last in made]
     return out[0].unionByName(out[1]).unionByName(out[2])

@@ -19,12 +19,15 @@ from lectern.functions import text as T
 PART = 1000
 
 
-def _cues(segments: DataFrame) -> DataFrame:
-    w = Window.partitionBy("video_id").orderBy("id")
-    x = segments.withColumn("line", T.one_line(F.coalesce("text", F.lit("")))).withColumn("no", F.row_number().over(w))
+def _numbered(segments: DataFrame) -> DataFrame:
+    x = segments.withColumn("no", F.row_number().over(Window.partitionBy("video_id").orderBy("id")))
     return x.withColumn("part", F.floor((F.col("no") - 1) / PART))
 
 
+def _cues(segments: DataFrame) -> DataFrame:
+    return _numbered(segments.withColumn("line", T.one_line(F.coalesce("text", F.lit("")))))
+
+
 def _joined(x: DataFrame, cue: Column, between: str) -> DataFrame:
     y = x.select("video_id", "part", "no", cue.alias("cue")).groupBy("video_id", "part").agg(F.array_sort(F.collect_list(F.struct("no", "cue"))).alias("c"), F.count("*").alias("n_cues"))
     return y.select("video_id", "part", "n_cues", F.array_join(F.transform("c", lambda s: s["cue"]), between).alias("content"))
@@ -46,7 +49,7 @@ def txt(segments: DataFrame) -> DataFrame:
 
 def spoken(segments: DataFrame) -> DataFrame:
     """The texts of a transcript with one space between, null as empty; parts join by a space."""
-    return _joined(_cues(segments), F.coalesce("text", F.lit("")), " ")
+    return _joined(_numbered(segments), F.coalesce("text", F.lit("")), " ")
 
 
 def markdown(segments: DataFrame, headers: DataFrame, timed_only: bool = False) -> DataFrame:
@@ -83,7 +86,7 @@ def json_transcript(segments: DataFrame, headers: DataFrame, fields: list[str])
     """
     facts = F.to_json(F.struct(*[c for c in headers.columns if c != "video_id"]), {"ignoreNullFields": "false"})
     heads = headers.select("video_id", F.concat(F.lit('{"video": '), facts, F.lit(', "segments": [')).alias("head"))
-    x = _joined(_cues(segments), as_json(F.struct(*fields)), ",\n")
+    x = _joined(_numbered(segments), as_json(F.struct(*fields)), ",\n")
     x = heads.join(x, "video_id", "left").select("video_id", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("n_cues", F.lit(0)).alias("n_cues"), "head", F.coalesce("content", F.lit("")).alias("content"))
     return x.select("video_id", "part", "n_cues", F.concat(F.when(F.col("part") == 0, F.col("head")).otherwise(","), "content").alias("content"))
 
