@@ -13,7 +13,7 @@ from __future__ import annotations
 import base64
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How the tokenizers' texts are parted before merging: a fixed value that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ITEMS_PER_SHARD = 20_000
-#: Targets are a list of settings: each document is packed once for each.
-MOST_TARGETS = 100
+#: Targets in one pass over the documents' token counts; more are taken in further passes.
+TARGETS_AT_ONCE = 100
 ASSIGNED = "target_id bigint, container_id string, doc_id bigint, piece bigint, n_tokens bigint"
 
 
@@ -130,11 +130,19 @@ def assign(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER,
     counts = materialise(token_counts(documents, tokenizer), "tokens")
     shards = max(1, -(-counts.count() // items_per_shard))
     targets = targets.where("target_id is not null and capacity_tokens >= 1").groupBy("target_id").agg(F.max("capacity_tokens").alias("capacity_tokens"))
-    few = targets.limit(MOST_TARGETS + 1).collect()
-    if len(few) > MOST_TARGETS:
-        raise ValueError(f"more than {MOST_TARGETS} targets")
-    if not few:
-        return counts.sparkSession.createDataFrame([], ASSIGNED)
+    out, block = [], []
+    for r in targets.orderBy("target_id").toLocalIterator():
+        block.append(r)
+        if len(block) == TARGETS_AT_ONCE:
+            out.append(_assigned(counts, block, shards))
+            block = []
+    if block:
+        out.append(_assigned(counts, block, shards))
+    return reduce(DataFrame.unionByName, out) if out else counts.sparkSession.createDataFrame([], ASSIGNED)
+
+
+def _assigned(counts: DataFrame, few: list, shards: int) -> DataFrame:
+    """The documents in containers of a block of targets."""
     each = F.array(*[F.struct(F.lit(r.target_id).cast("bigint").alias("target_id"), F.lit(r.capacity_tokens).cast("bigint").alias("capacity_tokens")) for r in few])
     x = counts.select("*", F.inline(each)).withColumn("full", F.floor(F.col("n_tokens") / F.col("capacity_tokens")))
     whole = x.where("full > 0").select("target_id", "capacity_tokens", "doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)).alias("piece"))

@@ -20,6 +20,12 @@ def p1_by_video(spark: SparkSession, sf: str) -> DataFrame:
     return x.groupBy("video_id").agg(F.count("*").alias("n_segments"), F.round(F.avg("repeated_share"), 6).alias("mean_share"))
 
 
+def p1_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The repeated share of every segment."""
+    x = repetition.with_every_share(table(spark, sf, "segments_raw").select("video_id", "id", "text")).where("text is not null")
+    return x.groupBy("video_id", F.col("id").alias("seg_id")).agg(F.round(F.max("repeated_share"), 6).alias("repeated_share"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return runs.collapse(table(spark, sf, "segments_raw")).select("video_id", "first_id", "last_id")
 
@@ -105,5 +111,5 @@ def p10_rounds(spark: SparkSession, sf: str) -> DataFrame:
     return levels.rounds(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_video, p2_found, p2_events, p3_found, p3_sentences, p3_unmarked, p5_found, p5_groups, p8_pack, p8_fill, p9_found, p9_by_item, p9_longest, p9_kept, p10_found, p10_levels, p10_rounds)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_video, p1_shares, p2_found, p2_events, p3_found, p3_sentences, p3_unmarked, p5_found, p5_groups, p8_pack, p8_fill, p9_found, p9_by_item, p9_longest, p9_kept, p10_found, p10_levels, p10_rounds)}
 ORACLE: dict[str, str] = {}

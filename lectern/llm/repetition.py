@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 import time
-import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -130,12 +129,6 @@ def exact_share(text: str | None) -> float:
     return repeated(u) / u.total if u.total else 0.0
 
 
-def squeezed(text: str) -> float:
-    """Bytes over their deflated size, the recogniser's own measure of repetition."""
-    raw = text.encode()
-    return len(raw) / len(zlib.compress(raw)) if raw else 0.0
-
-
 def with_share(df: DataFrame, text: str = "text", order: list[str] | None = None) -> DataFrame:
     """``df`` with ``repeated_share``: of the letters and digits of each text, the part that repeats what it said before.
 
@@ -152,6 +145,16 @@ def with_share(df: DataFrame, text: str = "text", order: list[str] | None = None
     return df.withColumn("repeated_share", shares(F.col(text)))
 
 
+def with_every_share(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``repeated_share`` of every text, however small: the exact measure without the cascade. Null for null."""
+
+    @F.arrow_udf("double")
+    def shares(a: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else exact_share(t) for t in a.to_pylist()], pa.float64())
+
+    return df.withColumn("repeated_share", shares(F.col(text)))
+
+
 def repetitive(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``keys`` and ``repeated_share`` of texts at least LEAST_SHARE of which is repetition; exact copies count once."""
     x = with_share(df.select(*keys, text), text).where(F.col("repeated_share").isNotNull())

@@ -510,3 +510,19 @@ def test_levels_at_rest_are_harmonic(spark):
         for k in own:
             num[k], den[k] = num.get(k, 0) + level / len(own), den.get(k, 0) + 1 / len(own)
     assert len(words.residuals) > 1 and all(abs(num[k] / den[k] - words.level[k]) <= levels.TOLERANCE for k in num)
+
+
+def test_every_share(spark):
+    texts = ["a b c d a b c d", "a b c d e", "", None, "ja ja ja ja ja ja", "a b c d e f g h a b c d"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = {r.id: r.repeated_share for r in repetition.with_every_share(df).collect()}
+    want = {i: None if t is None else brute_share(repetition.units_of(t)) for i, t in enumerate(texts)}
+    assert got == pytest.approx(want) and 0 < got[5] < 0.5
+
+
+def test_more_targets_than_one_pass_takes(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TARGETS_AT_ONCE", 2)
+    d = spark.createDataFrame([(i, "port " * (i + 1)) for i in range(20)], "doc_id bigint, text string")
+    t = spark.createDataFrame([(k, 8 + k) for k in range(5)], "target_id bigint, capacity_tokens bigint")
+    got = packing.assign(d, t)
+    assert got.groupBy("target_id").agg(F.countDistinct("doc_id").alias("n")).where("n = 20").count() == 5
