@@ -489,6 +489,22 @@ cues AS (SELECT video_id, (no - 1) // 1000 AS part, no, {cue} AS cue FROM number
 _TITLE = f"""array_to_string(list_transform(list_filter(string_split(replace(slug, '_', '-'), '-'), lambda w: w <> ''),
   lambda w: CASE WHEN lower(w) IN ({", ".join(f"'{a}'" for a in T.ACRONYMS)}) THEN upper(w) ELSE upper(w[1]) || w[2:] END), ' ')"""
 
+
+
+def _slug(c: str) -> str:
+    s = f"regexp_replace(left(regexp_replace(regexp_replace(replace(lower(strip_accents({c})), 'đ', 'd'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), '-+$', '')"
+    return f"CASE WHEN {s} = '' THEN 'video' ELSE {s} END"
+
+
+def _walk(files: str, used: str) -> str:
+    """Slugs of ``files`` in order of path, each the first that isn't ``used`` or given before."""
+    stem = r"regexp_replace(regexp_extract(path, '[^/]*$'), '^(.+)\.[^.]*$', '\1')"
+    return f"""base AS (SELECT path, row_number() OVER (ORDER BY path) AS n, {_slug(stem)} AS s FROM {files}),
+walk AS (SELECT 0::BIGINT AS n, ''::VARCHAR AS path, ''::VARCHAR AS slug, {used} AS used
+  UNION ALL SELECT n, path, slug, list_append(used, slug) FROM (SELECT b.n, b.path, w.used, CASE WHEN NOT list_contains(w.used, b.s) THEN b.s
+    ELSE b.s || '-' || list_filter(range(2, len(w.used) + 3), lambda k: NOT list_contains(w.used, b.s || '-' || k))[1] END AS slug FROM walk w JOIN base b ON b.n = w.n + 1) q)"""
+
+
 _SHARED = f"""pairs AS (SELECT rule_id, {_strip("from_text")} AS a, {_strip("to_text")} AS b FROM correction_rules), shared AS (SELECT *, {_LCS} AS shared FROM pairs)"""
 _WORDS = f"""words AS (SELECT rule_id, {_tokens("from_text")} AS a, {_tokens("to_text")} AS b FROM correction_rules),
 coded AS (SELECT rule_id, a, b, list_concat(a, b) AS w FROM words),
@@ -520,6 +536,13 @@ SELECT video_id, seq, status, CASE WHEN status = 'FAILED' THEN k ELSE greatest(k
     "final_statuses": "SELECT id, CASE WHEN coalesce(needs_review_count, 0) > 0 THEN 'NEEDS_REVIEW' ELSE 'COMPLETED' END AS final FROM videos",
     "fold_terms": "SELECT glossary_id, CAST(i - 1 AS INTEGER) AS place, replace(lower(strip_accents(terms[i])), 'đ', 'd') AS folded FROM (SELECT glossary_id, terms, unnest(range(1, len(terms) + 1)) AS i FROM glossary_files) q",
     "slug_of_videos": """SELECT id, CASE WHEN s = '' THEN 'video' ELSE s END AS slug FROM (SELECT id, regexp_replace(left(regexp_replace(regexp_replace(replace(lower(strip_accents(filename)), 'đ', 'd'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), '-+$', '') AS s FROM videos) q""",
+    "unique_slugs": f"WITH RECURSIVE {_walk('videos', '[]::VARCHAR[]')} SELECT path, slug FROM walk WHERE n > 0",
+    "upserted": f"""WITH RECURSIVE seen AS (SELECT path, arg_max(struct_pack(s := size_bytes, m := mtime), run_id) AS x FROM video_scans WHERE size_bytes IS NOT NULL AND mtime IS NOT NULL GROUP BY path),
+listed AS (SELECT path, x FROM seen UNION ALL SELECT regexp_replace(path, '^/kho/', '/kho2/'), x FROM seen WHERE path LIKE '/kho/%'),
+fresh AS (SELECT DISTINCT path, x FROM listed WHERE path NOT IN (SELECT path FROM videos)), {_walk("fresh", "(SELECT list(slug) FROM videos)")},
+kept AS (SELECT v.path, v.slug, v.size_bytes, v.mtime, v.status, l.x, l.path IS NOT NULL AND (v.size_bytes IS DISTINCT FROM l.x.s OR coalesce(abs(l.x.m - v.mtime) > 1e-4, true)) AS reset FROM videos v LEFT JOIN listed l ON l.path = v.path)
+SELECT path, slug, CASE WHEN reset THEN x.s ELSE size_bytes END AS size_bytes, CASE WHEN reset THEN 'PENDING' ELSE status END AS status FROM kept
+UNION ALL SELECT w.path, w.slug, f.x.s, 'PENDING' FROM walk w JOIN fresh f ON f.path = w.path WHERE w.n > 0""",
     "titles": f"SELECT id, {_TITLE} AS title FROM videos",
     "cue_times": f"WITH {_SEG} SELECT video_id, id, {_srt('start_s')} AS srt_start, {_srt('end_s')} AS srt_end, {_clock('start_s')} AS clock_start FROM seg WHERE start_s IS NOT NULL AND end_s IS NOT NULL",
     "durations": f"SELECT video_id, {_human('duration_seconds')} AS length, {_human('processing_seconds')} AS took FROM transcripts",
@@ -529,6 +552,7 @@ SELECT ngram, count(*) AS n FROM g GROUP BY ngram""",
     "digit_runs": r"SELECT item_id, len(regexp_extract_all(text, '(\p{Nd}+)', 1)) AS n_runs, array_to_string(regexp_extract_all(text, '(\p{Nd}+)', 1), ',') AS runs FROM eval_items",
     "vad_settings": "SELECT video_id, CAST(json_extract_string(vad_json, '$.enabled') AS BOOLEAN) AS enabled, CAST(json_extract_string(vad_json, '$.threshold') AS DOUBLE) AS threshold FROM transcripts",
     "neighbours": f"""WITH {_SEG} SELECT video_id, id, length(lag(coalesce(text, ''), 1, '') OVER w) AS prev_chars, length(lead(coalesce(text, ''), 1, '') OVER w) AS next_chars FROM seg WINDOW w AS (PARTITION BY video_id ORDER BY id)""",
+    "near_misses": f"WITH {_SEG}, {_NEAR} SELECT s.video_id, s.id FROM seg s JOIN near ON near.text = s.text",
     "segment_flags": f"WITH {_SEG}, {_FLAGS} SELECT video_id, id, array_to_string(flags, ',') AS flags FROM flagged WHERE len(flags) > 0",
     "flag_repetition": f"WITH {_SEG} SELECT video_id, id FROM (SELECT video_id, id, {_tokens("coalesce(text, '')")} AS w FROM seg) q WHERE {_again()}",
     "flag_counts": f"WITH {_SEG}, {_FLAGS} SELECT video_id, flag, count(*) AS n FROM (SELECT video_id, unnest(flags) AS flag FROM flagged) q GROUP BY video_id, flag",
