@@ -9,6 +9,7 @@ across chunks meet in that event and are joined, whatever their length.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ CHUNK = 1024
 #: Nearly the same: this part of the characters may differ.
 DIFFER = 0.1
 RUN = re.compile(r"([^\n])\1+")
+#: Distances up to this are as soon found as bounded.
+CHEAP = 8
 DIGITS = re.compile(r"\d+")
 #: Symbols are the code points from here on, taken in turn.
 FIRST_SYMBOL, SYMBOLS = 0xF0000, 0xFFF0
@@ -62,6 +65,12 @@ def within(a: str, b: str, most: int) -> bool:
     return False
 
 
+def _apart(a: str, b: str, most: int) -> bool:
+    """Whether the pairs of neighbouring characters show that the edit distance is above ``most``: an edit changes two."""
+    x, y = Counter(zip(a, a[1:])), Counter(zip(b, b[1:]))
+    return (x - y).total() + (y - x).total() > 4 * most
+
+
 def same(a: str, b: str) -> bool:
     """The same letters and digits, or with equal numbers at most a tenth of the characters differ; both not empty."""
     if a == b:
@@ -70,7 +79,7 @@ def same(a: str, b: str) -> bool:
     most = int(longest * DIFFER + 1e-9)
     if not most or abs(len(a) - len(b)) > most or DIGITS.findall(a) != DIGITS.findall(b):
         return False
-    return within(a, b, most)
+    return not (most > CHEAP and _apart(a, b, most)) and within(a, b, most)
 
 
 def symbols(texts: list[str], follows: list[bool]) -> str:

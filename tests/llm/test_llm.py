@@ -1,6 +1,7 @@
 """Operators for training text against brute force, with nulls, blanks, ties, copies and extra columns."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -150,6 +151,20 @@ def test_same(a, b, want):
     assert runs.same(a, b) == want
 
 
+def test_long_texts_are_bounded_first():
+    rng = random.Random(14)
+    for _ in range(40):
+        a = "".join(rng.choices("abcdef", k=rng.randint(90, 200)))
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 5)):
+            b[rng.randrange(len(b))] = rng.choice("abcdef")
+        b = "".join(b)
+        assert runs.same(a, b) == (edit(a, b) <= int(max(len(a), len(b)) * runs.DIFFER + 1e-9))
+    a, b = ("".join(rng.choices("abcdefghijklmnop", k=100_000)) for _ in range(2))
+    began = time.perf_counter()
+    assert not runs.same(a, b) and time.perf_counter() - began < 2
+
+
 def test_runs_over_chunks(spark, monkeypatch):
     rng = random.Random(3)
     pool = ["The port is open", "the PORT is open!", "The pоrt is open", "Step 1 of 3", "Step 2 of 3", None, " ", "…"]
