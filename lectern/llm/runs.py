@@ -25,7 +25,7 @@ CHUNK = 1024
 DIFFER = 0.1
 RUN = re.compile(r"([^\n])\1+")
 #: Distances up to this are as soon found as bounded.
-CHEAP = 8
+CHEAP, GRAM = 8, 5
 DIGITS = re.compile(r"\d+")
 #: Symbols are the code points from here on, taken in turn.
 FIRST_SYMBOL, SYMBOLS = 0xF0000, 0xFFF0
@@ -66,9 +66,9 @@ def within(a: str, b: str, most: int) -> bool:
 
 
 def _apart(a: str, b: str, most: int) -> bool:
-    """Whether the pairs of neighbouring characters show that the edit distance is above ``most``: an edit changes two."""
-    x, y = Counter(zip(a, a[1:])), Counter(zip(b, b[1:]))
-    return (x - y).total() + (y - x).total() > 4 * most
+    """Whether the runs of GRAM characters show that the edit distance is above ``most``: an edit changes GRAM of either text."""
+    x, y = (Counter(t[i : i + GRAM] for i in range(len(t) - GRAM + 1)) for t in (a, b))
+    return max((x - y).total(), (y - x).total()) > GRAM * most
 
 
 def same(a: str, b: str) -> bool:
