@@ -120,8 +120,9 @@ class PartitionedView:
             none = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema if f.name not in self.parts]
             marks = marks.select(*self.parts, *none, F.coalesce("fp_rows", F.lit(0).cast("bigint")).alias("fp_rows"), "fp_hash")
             rows = compute(wanted).select(*dict.fromkeys([*self.parts, *self.schema.fieldNames()]), F.lit(None).cast("bigint").alias("fp_rows"), F.lit(None).cast("decimal(38,0)").alias("fp_hash"))
-            # as many writer tasks as partitions, so that no task holds more than about one of them
-            out = rows.unionByName(marks).repartition(min(len(todo), 4096), *self.parts)
+            # a writer task writes its partitions one after another and holds none of them
+            tasks = 2 * self.spark.sparkContext.defaultParallelism
+            out = rows.unionByName(marks).repartition(min(len(todo), tasks), *self.parts)
             out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.parts).parquet(self.path)
             return todo
 
