@@ -1,8 +1,10 @@
 """Intervals, incremental work and control charts against brute force, on awkward tables."""
 
+import inspect
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,6 +259,34 @@ def test_without_charts_no_spike_is_found(spark):
     assert count(off, off, off) == 0
 
 
+def test_charts_run_only_where_they_tell(monkeypatch):
+    """Charts of LIMITS leave out no reading beyond eight spreads, so none run by default; wider ones leave out some."""
+    rng = np.random.default_rng(10)
+    n = control_chart.CHUNK
+    x = np.concatenate([rng.normal(-3, 0.1, 600), rng.normal(-3, 0.1, 200) - np.linspace(0, 2, 200), rng.normal(-3, 0.6, n - 800)])
+    x[rng.integers(0, n, 30)] -= 3
+    away = np.abs(x - np.median(x))
+    spread = control_chart.SIGMA_OF_MAD * np.median(away)
+    want = {int(i) for i in np.flatnonzero((away > 8 * spread) & (x <= 0))}
+    name, *others = [r.name for r in control_chart.READINGS]
+    cells = {"video_id": pa.array([1] * (n + 1)), "chunk": pa.array([0] * (n + 1)), "id": pa.array([None, *range(n)], "int64"), name: pa.array([None, *x], "float64")}
+    cells |= {c: pa.array([None] * (n + 1), "float64") for c in others}
+    cells |= {f"{c}_{k}": pa.array([v] + [None] * n, "float64") for c in (name, *others) for k, v in (("level", float(np.median(x))), ("spread", float(spread)))}
+
+    def spikes(limits):
+        out = pa.Table.from_batches(control_chart._flag(control_chart.READINGS, limits)([pa.RecordBatch.from_pydict(cells)]))
+        return {r["seg_id"] for r in out.to_pylist() if r["reason"] == "spike"}
+
+    assert spikes(control_chart.LIMITS) == want and len(want) > 50
+    assert set() < spikes((12.0, 16.0, 8.0)) < want
+
+    def never(*_):
+        raise AssertionError("a chart ran")
+
+    monkeypatch.setattr(control_chart, "charts", never)
+    assert spikes(inspect.signature(control_chart.unbelievable).parameters["limits"].default) == want
+
+
 def test_medians_are_exact(spark):
     rng = random.Random(8)
     rows = []
