@@ -24,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,9 @@ _CJK = re.compile(f"[{CJK}]")
 _THAI = re.compile(f"[{THAI}]")
 _TAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*$")
 _ANY = re.compile(f"[{MARKS}{THAI}]")
+_WIDE = "。！？｡"
+# without any of these in a line, only marks with a space behind them can be events
+_SPECIAL = re.compile(f"[{_WIDE}…{THAI}]")
 _NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
 _OPENED = re.compile(f"[{re.escape(''.join(PAIRS) + ''.join(PAIRS.values()))}\"]")
 
@@ -84,15 +88,25 @@ def _patterns() -> dict[str, re.Pattern]:
     # “ closes where „ opens, and opens elsewhere
     close = {"": re.escape(CLOSERS), "„": re.escape(CLOSERS + "“")}
     event = r"(?P<p>{0})(?P<pc>[{1}]*)(?P<pw>{2}+)(?=\S)|(?P<m>[{3}]+)(?P<c>[{1}]*)(?P<w>{2}*)(?=\S)"
+    # the same where there are no particles, and where a space must follow too; both open with a set of characters, which
+    # the search skips to, and the latter takes whole runs of marks, as a space is behind those alone
+    wide = r"(?P<m>[{3}][{3}]*)(?P<c>[{1}]*)(?P<w>{2}*)(?=\S)"
+    spaced = r"(?P<m>[{3}](?<![{3}][{3}])[{3}]*+)(?P<c>[{1}]*+)(?P<w>{2}+)(?=\S)"
     end = r"(?:(?P<p>{0})|(?P<m>[{3}]+))(?P<c>[{1}]*){2}*$"
     return {
-        **{"event" + k: re.compile(event.format(particle, c, gap, MARKS)) for k, c in close.items()},
+        **{kind + k: re.compile(x.format(particle, c, gap, MARKS)) for kind, x in (("event", event), ("wide", wide), ("spaced", spaced)) for k, c in close.items()},
         **{"end" + k: re.compile(end.format(particle, c, gap, MARKS)) for k, c in close.items()},
         "token": re.compile(rf"[{CJK}]|[{THAI}]{{1,3}}|[ऀ-ॣ०-ॿ]+|\d+(?:[.,:]\d+)*|{word}|[^\w\s]|\S"),
         "gap": re.compile(rf"{gap}*"),
     }
 
 
+@cache
+def _endings() -> frozenset[str]:
+    """Characters other than marks and spaces that the end of a line with a mark or particle may have last."""
+    return frozenset(CLOSERS + "“" + _tables()["invisible"]) | {p[-1] for p in PARTICLES}
+
+
 def _hash(*key: str) -> int:
     return zlib.crc32("\x1f".join(key).encode("utf-8", "surrogatepass"))
 
@@ -125,6 +139,22 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+class _Chunks(dict):
+    """Hashes of the tokens of what stands between spaces, remembered for a bounded number of short ones: no token spans a
+    space, and in scripts with spaces few chunks are new."""
+
+    def __missing__(self, chunk: str) -> list[int]:
+        out = [_HASHES[t] for t in _patterns()["token"].findall(chunk)]
+        if len(chunk) <= 24:
+            if len(self) > 100_000:
+                self.clear()
+            self[chunk] = out
+        return out
+
+
+_CHUNKS = _Chunks()
+
+
 def _plain(token: str) -> str:
     token = (token if token.isascii() else canonical(token)).lower()
     if token[:1].isdigit():
@@ -140,7 +170,7 @@ def _mark(mark: str, closed: bool, spaced: bool) -> str:
     return kind + "”" * closed + " " * spaced
 
 
-@dataclass
+@dataclass(slots=True)
 class Event:
     """A marked place where a sentence may end: the next would begin at ``begin``; ``left`` and ``mark`` before it."""
 
@@ -156,15 +186,15 @@ class Event:
 
 def _left(line: str, end: int) -> tuple[str, bool, int]:
     """The token before ``end``, whether a space parts them, and where the token begins."""
-    stop = end
-    while stop and line[stop - 1].isspace():
-        stop -= 1
-    begin = stop
-    while begin and not line[begin - 1].isspace():
-        begin -= 1
-    token = line[begin:stop]
-    if token and _CJK.search(token):
-        tail = _TAIL.search(token)
+    # what is near shows most tokens whole; where it doesn't, all of the line before
+    for near in (max(0, end - 64), 0):
+        head = line[near:end].rstrip()
+        token = head.rsplit(None, 1)[-1] if head else ""
+        if not near or len(token) < len(head):
+            break
+    stop = near + len(head)
+    if not token.isascii() and _CJK.search(token):
+        tail = _TAIL.search(token) if token[-1].isascii() else None
         token = tail[0] if tail else token[-2:]
         return _plain(token), stop < end, stop - len(token)
     bare = token.lstrip("\"'“„«「『（([‘")
@@ -202,15 +232,14 @@ def _first_of_line(line: str, begin: int) -> bool:
 def events(line: str) -> list[Event]:
     """The marked places of a line, in order."""
     out: list[Event] = []
-    if not _ANY.search(line):
-        return out
+    kind = "spaced" if line.isascii() or not _SPECIAL.search(line) else "event" if _THAI.search(line) else "wide"
     quoted: list[tuple[int, int]] | None = None
-    for m in _patterns()["event„" if "„" in line else "event"].finditer(line):
-        if m["p"]:
+    for m in _patterns()[kind + "„" if "„" in line else kind].finditer(line):
+        if kind == "event" and m["p"]:
             begin, left, mark, start = m.end(), canonical(m["p"]), "P" + "”" * bool(m["pc"]), m.start()
             closed_at, alone = m.end("pc"), False
         else:
-            wide = m["m"][-1] in "。！？｡" or (m["m"][-1] == "…" and (_CJK.match(line, m.start() - 1) or _CJK.match(line, m.end())))
+            wide = m["m"][-1] in _WIDE or (m["m"][-1] == "…" and (_CJK.match(line, m.start() - 1) or _CJK.match(line, m.end())))
             if not m["w"] and not wide:
                 continue
             left, spaced, start = _left(line, m.start())
@@ -231,6 +260,9 @@ def events(line: str) -> list[Event]:
 def lines(text: str) -> list[tuple[int, str]]:
     """(offset, line) of the lines that aren't blank."""
     out, at = [], 0
+    whole = text.splitlines()  # at the same characters
+    if whole and len(whole[0]) == len(text):
+        return [(0, text)] if text.strip() else []
     for m in _LINE.finditer(text):
         out.append((at, text[at : m.start()]))
         at = m.end()
@@ -245,28 +277,58 @@ def _typical(left: str) -> bool:
 
 def _ended(line: str) -> tuple[str, str] | None:
     """The word and mark that a line ends with, if it has one."""
-    if not _ANY.search(line, max(0, len(line) - 40)):
+    last, low = line[-1], max(0, len(line) - 40)
+    if last in MARKS:
+        start, closed = max(low, len(line.rstrip(MARKS))), False
+        mark = line[start:]
+        if not start:
+            return None
+    elif last not in _endings() and not last.isspace() or not _ANY.search(line, low):
         return None
-    m = _patterns()["end„" if "„" in line else "end"].search(line, max(0, len(line) - 40))
-    if not m or not m.start():
-        return None
-    if m["p"]:
-        return canonical(m["p"]), "P" + "”" * bool(m["c"])
-    left, spaced, begin = _left(line, m.start())
+    else:
+        m = _patterns()["end„" if "„" in line else "end"].search(line, low)
+        if not m or not m.start():
+            return None
+        if m["p"]:
+            return canonical(m["p"]), "P" + "”" * bool(m["c"])
+        start, mark, closed = m.start(), m["m"], bool(m["c"])
+    left, spaced, begin = _left(line, start)
     if (left == "<int>" or len(left) == 1) and _first_of_line(line, begin):
         left += "^"
-    return left, _mark(m["m"], bool(m["c"]), spaced)
+    return left, _mark(mark, closed, spaced)
 
 
 def _tokens(line: str) -> tuple[list[int], list[int]]:
     """Where the tokens of a line begin, and their hashes."""
-    low = line.lower()
-    if len(low) != len(line):
-        low = line
-    found = [(m.start(), m[0]) for m in _patterns()["token"].finditer(low)]
+    found = [(m.start(), m[0]) for m in _patterns()["token"].finditer(_low(line))]
     return [a for a, _ in found], [_HASHES[t] for _, t in found]
 
 
+def _low(line: str) -> str:
+    low = line.lower()
+    return low if len(low) == len(line) else line
+
+
+def _hashes(low: str) -> list[int]:
+    """Hashes of the tokens of a line in lower case."""
+    return list(chain.from_iterable(map(_CHUNKS.__getitem__, low.split())))
+
+
+def _stretches(line: str, es: list[Event]) -> tuple[list[int], list[int]]:
+    """For each token of a line the place of the event before it, and the tokens' hashes: as :func:`_tokens`, so far as
+    events need it."""
+    if any(not line[e.begin - 1].isspace() and line[e.begin - 1] not in _MARKS_AND_CLOSERS for e in es):
+        return _tokens(line)  # behind invisible characters a token may go on past the event
+    low = _low(line)
+    begins: list[int] = []
+    hashes: list[int] = []
+    cuts = [0, *(e.begin for e in es), len(low)]
+    for a, b in pairwise(cuts):
+        hashes += _hashes(low[a:b])
+        begins += [a] * (len(hashes) - len(begins))
+    return begins, hashes
+
+
 class Counts:
     """Counts of a task: bucket numbers are held by table, and added up when there are many."""
 
@@ -281,20 +343,23 @@ class Counts:
         """What the known starts, ends and inner places of texts show."""
         hashes: list[int] = []
         ends: list[int] = []
+        ended, going_on = self.marked
+        n_marked = 0
         for text in texts:
             for _, line in lines(text):
                 m = _ended(line)
-                self.lines += (1, m is not None)
                 if m:
-                    self.marked[END][m] += 1
+                    n_marked += 1
+                    ended[m] += 1
                 for e in events(line):
                     if not e.inside:
-                        self.marked[MID][e.left, e.mark] += 1
-                hashes += _tokens(canonical(line))[1]
+                        going_on[e.left, e.mark] += 1
+                hashes += _hashes(_low(canonical(line)))
                 ends.append(len(hashes))
+        self.lines += (len(ends), n_marked)
         self._tokens(np.array(hashes, np.int64), np.array(ends, np.int64))
-        if self.size > HELD:
-            self.put()
+        if self.size + len(ended) + len(going_on) > HELD:
+            self.put(HELD // (TABLES + len(self.marked)))
 
     def _tokens(self, h: np.ndarray, ends: np.ndarray) -> None:
         if not len(h):
@@ -326,18 +391,22 @@ class Counts:
         self.held[table].append(buckets)
         self.size += len(buckets)
 
-    def put(self) -> None:
+    def put(self, least: int = 0) -> None:
+        """Adds up what is held of tables of which more than ``least`` is."""
         for k, held in enumerate(self.held):
-            if held:
+            n = sum(map(len, held))
+            if n > least:
                 self.total[k] += np.bincount(np.concatenate(held), minlength=BUCKETS)
                 held.clear()
+                self.size -= n
         for k, table in enumerate(self.marked):
+            if len(table) <= least // 4:  # words take more room than numbers
+                continue
             for (left, mark), n in table.items():
                 self.total[k, _bucket(left, mark)] += n
                 if mark[0] != "." or _typical(left):
                     self.total[k, _bucket("", mark)] += n
             table.clear()
-        self.size = 0
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -516,7 +585,7 @@ class Model:
                 out[i].append(at + skip.match(line).end())
                 es = events(line)
                 if es or unmarked:
-                    begins, hashes = _tokens(line)
+                    begins, hashes = _tokens(line) if unmarked else _stretches(line, es)
                     parsed.append((begins, hashes, es))
                     where.append((i, at))
                     if unmarked:

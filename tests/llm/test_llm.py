@@ -259,6 +259,64 @@ def test_posteriors_don_t_depend_on_the_lines_beside(model):
             assert got[a:b].tolist() == pytest.approx(sentences.forward_backward(np.array([0]), *(w[a:b] for w in weights)).tolist())
 
 
+def test_words_between_spaces_are_read_once(monkeypatch):
+    """What training and scoring cost: a token is looked up for each new word, not for each word of all texts."""
+
+    class Asked(sentences._Hashes):
+        n = 0
+
+        def __getitem__(self, token):
+            Asked.n += 1
+            return super().__getitem__(token)
+
+    texts = [t for t in corpus() if t.isascii()]
+    whole = sum(len(sentences._tokens(t)[1]) for t in texts)
+    monkeypatch.setattr(sentences, "_HASHES", Asked())
+    monkeypatch.setattr(sentences, "_CHUNKS", sentences._Chunks() if hasattr(sentences, "_Chunks") else None, raising=False)
+    c = sentences.Counts()
+    c.add(texts)
+    c.put()
+    sentences.Model(c.total, c.total.sum(1), c.lines).begins(texts)
+    assert 0 < Asked.n < whole / 10
+
+
+def test_short_ways_of_reading_lines_change_nothing():
+    rng = random.Random(17)
+    parts = [*".…。।”)“„ ", " ", " ", "\u200b", "\u3164", "a", "İ", "Σ", "о", "箱", "ค่ะ", "ครับ", "1", "12.5", "’", "word", "i.e.", "न", "\u0301", "x" * 70]
+    full = sentences._patterns()
+    for _ in range(20_000):
+        line = "".join(rng.choices(parts, k=rng.randint(1, 14)))
+        if not line.strip():
+            continue
+        begins, hashes = sentences._tokens(line)
+        assert sentences._hashes(sentences._low(line)) == hashes
+        es = sentences.events(line)
+        coarse, own = sentences._stretches(line, es)
+        assert own == hashes and [sentences.bisect_left(coarse, e.begin) for e in es] == [sentences.bisect_left(begins, e.begin) for e in es], line
+        # the places that the pattern for all kinds of lines finds
+        found = full["event„" if "„" in line else "event"].finditer(line)
+        wide = [m for m in found if m["p"] or m["w"] or m["m"][-1] in "。！？｡" or m["m"][-1] == "…" and any(sentences._CJK.match(line, k) for k in (m.start() - 1, m.end()))]
+        assert [(e.at, e.begin) for e in es] == [(m.start(), m.end()) for m in wide if line[: m.start()].strip()], line
+        m = full["end„" if "„" in line else "end"].search(line, max(0, len(line) - 40))
+        got = sentences._ended(line)
+        assert (got is None) == (not m or not m.start()), line
+        assert got is None or got[1][0] == ("P" if m["p"] else sentences._mark(m["m"], False, False)), line
+
+
+def test_counts_are_whole_however_they_are_put(monkeypatch):
+    texts = corpus()
+    want = sentences.Counts()
+    want.add(texts)
+    want.put()
+    monkeypatch.setattr(sentences, "HELD", 2_000)
+    got = sentences.Counts()
+    for i in range(0, len(texts), 50):
+        got.add(texts[i : i + 50])
+        assert got.size + sum(map(len, got.marked)) <= 2_000
+    got.put()
+    assert (got.total == want.total).all() and (got.lines == want.lines).all() and not got.size
+
+
 def test_boundaries_without_marks(spark):
     """Held-out texts with their marks taken out: the events between words alone must show most boundaries."""
     rng = random.Random(13)
